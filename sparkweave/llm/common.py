@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,12 @@ def uniform(*cols: Column) -> Column:
     return ((F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") + 0.5) / float(1 << 53)
 
 
+def ship(spark: SparkSession, thing) -> Callable:
+    """Broadcast an object of bounded size; call what is returned on an executor to get it. Its classes are shipped along."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file:// address or plain path, else None."""
     if uri.startswith("file:"):
@@ -91,16 +99,12 @@ class Store:
 
             self.remote, self.base = fs.FileSystem.from_uri(root)
 
-    def write(self, name: str, parts) -> None:
+    def create(self, name: str):
+        """A file to write bytes to."""
         if self.local is None:
-            with self.remote.open_output_stream(f"{self.base}/{name}") as out:
-                for part in parts:
-                    out.write(memoryview(part).cast("B"))
-            return
+            return self.remote.open_output_stream(f"{self.base}/{name}")
         os.makedirs(self.local, exist_ok=True)
-        with open(f"{self.local}/{name}", "wb") as out:
-            for part in parts:
-                out.write(memoryview(part).cast("B"))
+        return open(f"{self.local}/{name}", "wb")
 
     def read(self, name: str, start: int = 0, size: int | None = None) -> bytes:
         if self.local is None:
