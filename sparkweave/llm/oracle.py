@@ -1,3 +1,26 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+#: The words of a text, A-Z in lower case, as `WORD` splits them.
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str, row: str) -> str:
+    """Distinct five-word shingles of each row of a table; of fewer words, the whole sequence."""
+    return f"""
+        SELECT DISTINCT {row}, {key}, array_to_string(list_slice(w, k, k + 4), ' ') AS shingle, least(len(w), 5) AS n
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS k
+              FROM (SELECT row_number() OVER () AS {row}, {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL)
+              WHERE len(w) > 0)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontaminate": f"""
+        WITH d AS ({_shingles("documents", "doc_id", "d_row")}),
+             i AS ({_shingles("benchmark", "item_id", "i_row")}),
+             sizes AS (SELECT i_row, count(*) AS item_shingles FROM i GROUP BY i_row),
+             hits AS (SELECT d_row, doc_id, i_row, item_id, count(*) AS shared
+                      FROM i JOIN d USING (shingle, n) GROUP BY ALL)
+        SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+        FROM hits JOIN sizes USING (i_row)
+        WHERE shared >= 0.8 * item_shingles - 1e-9""",
+}
