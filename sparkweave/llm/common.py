@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, wherever words are counted: anything but ASCII white space.
@@ -130,3 +130,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z in lower case. bytes.split() and bytes.lower() know ASCII only, as WORD does."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def indexed(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df, staged, with a gapless number from 0 in that order: a range sort, then an offset for each of its partitions."""
+    pid, at = f"{name}_p", f"{name}_m"
+    rows = stage(df.orderBy(*order).withColumns({pid: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(pid).count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select(pid, "offset")
+    # a row for each partition of the sort
+    return rows.join(F.broadcast(offsets), pid).withColumn(name, F.col(at) + F.col("offset")).drop(pid, at, "offset")
