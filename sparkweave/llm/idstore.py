@@ -138,11 +138,10 @@ def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, by_word: bool
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, store = Encoder(tokenizer), Store(root)
-        encode.by_word = by_word
+        encode, store = Encoder.of(tokenizer, by_word), Store(root)
         width = 2 if max(encode.vocabulary - 1, end_id) < 1 << 16 else 4
         shard, name, keys, counts, out = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}", [], [], None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             out = out or store.create(f"{name}.ids")
             ids, of = with_end(*encode(batch.column("text")), end_id)
             out.write(ids.astype(f"<u{width}").tobytes())
