@@ -4,19 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.llm import simhash
+from sparkweave.llm import decontam, mixing, sharding, simhash, toxicity
 from sparkweave.llm.common import stage
 
-#: SQL has no seeded hash ranks, fitted models or XXH64: the stages are tested against brute force instead.
+#: SQL has no fitted models, XXH64 fingerprints or seeded hash ranks: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labelled ones, rejects go."""
+    return toxicity.drop(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash", deduplicate)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix of sources takes it."""
+    return mixing.repeat(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and the slot in it of every document of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES = [("toxicity", detoxify), ("simhash", deduplicate), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import ann, decontam, idstore, mixing, pii, sharding, simhash, toxicity, urls
+from sparkweave.llm import ann, decontam, idstore, mixing, pii, rollup, sharding, simhash, toxicity, urls
+from sparkweave.llm.common import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,24 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents are loaded; exact copies of a document with a smaller id are deleted; English documents that
+    stay are recounted with an end id, under a new version; and the load is sent a second time, which changes nothing."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), F.length("text").alias("n"))
+    counts = stage(rollup.counted(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json")), "counts")
+    firsts = counts.groupBy("h", "c", "n").agg(F.min("doc_id").alias("first_id")).withColumnsRenamed({"h": "h1", "c": "c1", "n": "n1"})
+    placed = counts.join(firsts, (F.col("h") == F.col("h1")) & F.col("c").eqNullSafe(F.col("c1")) & F.col("n").eqNullSafe(F.col("n1")))
+    copies, kept = placed.where("doc_id > first_id"), placed.where("doc_id <= first_id or first_id is null")
+    table, first, second = rollup.new(spark), "word_bpe_49k", "word_bpe_49k+end"
+    table.commit("load-1", rollup.deltas(counts, first, "n_tokens"))
+    table.commit("copies-1", rollup.deltas(copies, first, "n_tokens", -1))
+    table.commit("recount-1", rollup.revised(kept.where("lang = 'en'"), first, "n_tokens", second, F.col("n_tokens") + 1))
+    table.commit("load-1", rollup.deltas(counts, first, "n_tokens"))
+    return table.totals()
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +94,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_cross_polytope": op2_cross_polytope,
+    "op3_token_rollup": op3_token_rollup,
     "op4_token_ids": op4_token_ids,
     "op5_pii": op5_pii,
     "op6_toxicity": op6_toxicity,
