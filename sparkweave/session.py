@@ -72,7 +72,7 @@ class Session:
         self._register(name, readers.avro(self.spark, path))
 
     def register_listing_table(self, name: str, path: str, file_extention: str = "parquet") -> None:
-        """A folder of Parquet files; the extension only says which files count. Folders key=value give columns."""
+        """A folder of Parquet files; the extension only says how the names end that count. Folders key=value give columns."""
         self._register(name, readers.listing(self.spark, path, file_extention))
 
     def register_dataframe(self, name: str, df: DataFrame) -> None:

@@ -24,7 +24,7 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, extension: str = "parquet") -> DataFrame:
-    return spark.read.option("pathGlobFilter", f"*.{extension.lstrip('.')}").parquet(path.rstrip("/") + "/")
+    return spark.read.option("pathGlobFilter", f"*{extension}").parquet(path.rstrip("/") + "/")
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
