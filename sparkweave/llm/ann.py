@@ -72,8 +72,8 @@ def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int) -> DataFram
                 batch = whole.slice(k, 2048)
                 unit, every = _unit(_matrix(batch.column("v"))), np.arange(batch.num_rows)
                 for table in range(tables):
-                    own = buckets(rotated(unit, table, seed), probes).astype(np.int32).ravel()
-                    at = pa.array(np.repeat(every, probes))
+                    own = buckets(rotated(unit, table, seed), probes).astype(np.int32)
+                    at, own = pa.array(np.repeat(every, own.shape[1])), own.ravel()
                     columns = [batch.column(c).take(at) for c in ("id", "v", "shell")]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(own), table, np.int32)), pa.array(own)], ["id", "v", "shell", "tab", "bucket"])
 

@@ -198,12 +198,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     found = stage(near_duplicates(docs, id_col, text_col, radius, shingle), "groups")
     ids = found.where("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
+    kept = docs.join(ids, docs[id_col].cast("long") == ids["kept_id"], "left_semi")
     if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     if not found.where("component_id is null").isEmpty():
         classes = found.where("component_id is null").select("class").distinct()
         own = "fp" + uuid.uuid4().hex
         nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col, shingle, own)
-        kept = kept.unionByName(nameless.join(classes, F.col(own) == F.col("class"), "left_semi").dropDuplicates([own]).drop(own))
+        kept = kept.unionByName(nameless.join(classes, nameless[own] == classes["class"], "left_semi").dropDuplicates([own]).drop(own))
     return kept
