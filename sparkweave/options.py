@@ -4,28 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_P = "datafusion."
-#: Option name -> Spark SQL setting; None for options that have no counterpart and change nothing.
+#: Option name, after an engine prefix if there is one -> Spark SQL setting; None for options that have no
+#: counterpart and change nothing.
 OPTIONS: dict[str, str | None] = {
-    _P + "execution.target_partitions": "spark.sql.shuffle.partitions",
-    _P + "execution.batch_size": "spark.sql.execution.arrow.maxRecordsPerBatch",
-    _P + "execution.time_zone": "spark.sql.session.timeZone",
-    _P + "execution.parquet.pushdown_filters": "spark.sql.parquet.filterPushdown",
-    _P + "execution.parquet.enable_page_index": "spark.sql.parquet.columnIndexFilter",
-    _P + "execution.parquet.schema_force_view_types": None,
-    _P + "execution.parquet.pruning": "spark.sql.parquet.filterPushdown",
-    _P + "execution.parquet.compression": "spark.sql.parquet.compression.codec",
-    _P + "execution.coalesce_batches": None,
-    _P + "execution.collect_statistics": "spark.sql.statistics.fallBackToHdfs",
-    _P + "catalog.information_schema": None,
-    _P + "optimizer.enable_round_robin_repartition": None,
-    _P + "optimizer.repartition_joins": None,
-    _P + "optimizer.repartition_aggregations": None,
-    _P + "optimizer.prefer_hash_join": "spark.sql.join.preferSortMergeJoin",
-    _P + "optimizer.hash_join_single_partition_threshold": "spark.sql.autoBroadcastJoinThreshold",
+    "execution.target_partitions": "spark.sql.shuffle.partitions",
+    "execution.batch_size": "spark.sql.execution.arrow.maxRecordsPerBatch",
+    "execution.time_zone": "spark.sql.session.timeZone",
+    "execution.parquet.pushdown_filters": "spark.sql.parquet.filterPushdown",
+    "execution.parquet.enable_page_index": "spark.sql.parquet.columnIndexFilter",
+    "execution.parquet.schema_force_view_types": None,
+    "execution.parquet.pruning": "spark.sql.parquet.filterPushdown",
+    "execution.parquet.compression": "spark.sql.parquet.compression.codec",
+    "execution.coalesce_batches": None,
+    "execution.collect_statistics": "spark.sql.statistics.fallBackToHdfs",
+    "catalog.information_schema": None,
+    "optimizer.enable_round_robin_repartition": None,
+    "optimizer.repartition_joins": None,
+    "optimizer.repartition_aggregations": None,
+    "optimizer.prefer_hash_join": "spark.sql.join.preferSortMergeJoin",
+    "optimizer.hash_join_single_partition_threshold": "spark.sql.autoBroadcastJoinThreshold",
 }
 #: Options whose Spark setting means the opposite.
-_INVERTED = {_P + "optimizer.prefer_hash_join"}
+_INVERTED = {"optimizer.prefer_hash_join"}
 
 
 def apply(spark: SparkSession, option: str, value: str) -> None:
@@ -33,11 +33,12 @@ def apply(spark: SparkSession, option: str, value: str) -> None:
     if option.startswith("spark."):
         spark.conf.set(option, str(value))
         return
-    if option not in OPTIONS:
+    name = option if option in OPTIONS else option.partition(".")[2]
+    if name not in OPTIONS:
         raise ValueError(f"unknown option: {option}")
-    setting, text = OPTIONS[option], str(value)
+    setting, text = OPTIONS[name], str(value)
     if setting is None:
         return
-    if option in _INVERTED:
+    if name in _INVERTED:
         text = {"true": "false", "false": "true"}[text.lower()]
     spark.conf.set(setting, text.lower() if text.lower() in ("true", "false") else text)

@@ -56,9 +56,9 @@ def test_show_prints_all_rows(session, capsys):
 
 
 def test_options(session):
-    session.set("datafusion.execution.target_partitions", "7")
+    session.set("engine.execution.target_partitions", "7")
     assert session.get_target_partitions() == 7
-    session.set("datafusion.optimizer.enable_round_robin_repartition", "false")
+    session.set("optimizer.enable_round_robin_repartition", "false")
     session.set("spark.sql.shuffle.partitions", "5")
     assert session.get_target_partitions() == 5
     with pytest.raises(ValueError, match="unknown option"):
