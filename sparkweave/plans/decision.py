@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.plans.tables import Tables
@@ -55,10 +55,10 @@ def pricing_summary(t: Tables) -> DataFrame:
 
 @_plan("tpch_q02")
 def cheapest_supplier(t: Tables) -> DataFrame:
-    offers = t.partsupp.join(t.supplier, c("ps_suppkey") == c("s_suppkey")).join(in_region(t, "ASIA"), c("s_nationkey") == c("n_nationkey"))
-    wanted = offers.join(t.part.where(c("p_size") == 15), c("ps_partkey") == c("p_partkey"))
-    least = wanted.groupBy(c("p_partkey").alias("of_part")).agg(F.min("ps_supplycost").alias("least"))
-    best = wanted.join(least, (c("p_partkey") == c("of_part")) & (c("ps_supplycost") == c("least")))
+    sellers = t.supplier.join(in_region(t, "ASIA"), c("s_nationkey") == c("n_nationkey"))
+    offers = t.supply(t.part.where(c("p_size") == 15), sellers).withColumnRenamed("ps_partkey", "p_partkey")
+    least = F.min("ps_supplycost").over(Window.partitionBy("p_partkey"))
+    best = offers.withColumn("least", least).where(c("ps_supplycost") == c("least")).join(sellers, c("ps_suppkey") == c("s_suppkey"))
     return best.select("s_acctbal", "s_name", "n_name", "p_partkey").orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100)
 
 
@@ -118,7 +118,7 @@ def market_share(t: Tables) -> DataFrame:
 def product_profit(t: Tables) -> DataFrame:
     parts = t.part.where(c("p_name").contains("ring")).select("p_partkey")
     lines = t.lineitem.join(parts, c("l_partkey") == c("p_partkey"))
-    supplied = lines.join(t.partsupp, (c("l_partkey") == c("ps_partkey")) & (c("l_suppkey") == c("ps_suppkey")))
+    supplied = lines.join(t.supply(parts), (c("l_partkey") == c("ps_partkey")) & (c("l_suppkey") == c("ps_suppkey")))
     sold = supplied.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.supplier, c("l_suppkey") == c("s_suppkey")).join(t.nation, c("s_nationkey") == c("n_nationkey"))
     amount = revenue() - c("ps_supplycost") * c("l_quantity")
     years = sold.select(c("n_name").alias("nation"), F.year("o_orderdate").cast("long").alias("o_year"), amount.alias("amount"))
@@ -136,7 +136,7 @@ def returned_items(t: Tables) -> DataFrame:
 @_plan("tpch_q11")
 def important_stock(t: Tables) -> DataFrame:
     own = t.supplier.join(t.nation.where(c("n_name") == "NATION_3"), c("s_nationkey") == c("n_nationkey")).select("s_suppkey")
-    worth = t.partsupp.join(own, c("ps_suppkey") == c("s_suppkey")).select("ps_partkey", (c("ps_supplycost") * c("ps_availqty")).alias("worth"))
+    worth = t.supply(suppliers=own).select("ps_partkey", (c("ps_supplycost") * c("ps_availqty")).alias("worth"))
     limit = worth.agg((F.sum("worth") * 0.001).alias("limit"))
     parts = worth.groupBy("ps_partkey").agg(F.sum("worth").alias("sum_worth"))
     return parts.join(limit, c("sum_worth") > c("limit")).select("ps_partkey", F.round("sum_worth", 3).alias("value")).orderBy(F.desc("value"), "ps_partkey")
@@ -175,7 +175,8 @@ def top_supplier(t: Tables) -> DataFrame:
 def supplier_counts(t: Tables) -> DataFrame:
     kept = (c("p_brand") != "Brand#14") & ~c("p_type").like("SMALL%") & c("p_size").isin(14, 6, 5, 31, 49, 15, 41, 47)
     bad = t.supplier.where(c("s_acctbal") < 0).select("s_suppkey")
-    offers = t.partsupp.join(t.part.where(kept), c("ps_partkey") == c("p_partkey")).join(bad, c("ps_suppkey") == c("s_suppkey"), "left_anti")
+    parts = t.part.where(kept)
+    offers = t.supply(parts).join(parts, c("ps_partkey") == c("p_partkey")).join(bad, c("ps_suppkey") == c("s_suppkey"), "left_anti")
     keys = ["p_brand", "p_type", "p_size"]
     return offers.groupBy(*keys).agg(F.count_distinct("ps_suppkey").alias("supplier_cnt")).orderBy(F.desc("supplier_cnt"), *keys)
 
@@ -206,9 +207,8 @@ def discounted_revenue(t: Tables) -> DataFrame:
 @_plan("tpch_q20")
 def surplus_suppliers(t: Tables) -> DataFrame:
     parts = t.part.where(c("p_name").startswith("small")).select("p_partkey")
-    sold = t.lineitem.where(between("l_shipdate", "1996-01-01", "1999-01-01")).groupBy(c("l_partkey").alias("part"), c("l_suppkey").alias("supp")).agg((0.5 * F.sum("l_quantity")).alias("half"))
-    stock = t.partsupp.join(parts, c("ps_partkey") == c("p_partkey"), "left_semi")
-    rich = stock.join(sold, (c("ps_partkey") == c("part")) & (c("ps_suppkey") == c("supp")) & (c("ps_availqty") > c("half")))
+    sold = t.lineitem.where(between("l_shipdate", "1996-01-01", "1999-01-01")).join(parts, c("l_partkey") == c("p_partkey"), "left_semi").groupBy(c("l_partkey").alias("part"), c("l_suppkey").alias("supp")).agg((0.5 * F.sum("l_quantity")).alias("half"))
+    rich = t.supply(parts).join(sold, (c("ps_partkey") == c("part")) & (c("ps_suppkey") == c("supp")) & (c("ps_availqty") > c("half")))
     near = t.supplier.join(t.nation.where(c("n_nationkey") < 8), c("s_nationkey") == c("n_nationkey"))
     return near.join(rich, c("s_suppkey") == c("ps_suppkey"), "left_semi").select("s_suppkey", "s_name").orderBy("s_name")
 

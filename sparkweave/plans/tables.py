@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Schemas by application and path: a file's footer is read once, not once a query.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose schema stays the same while the application runs."""
+    key = (spark.sparkContext.applicationId, path)
+    if key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[key] = df.schema
+    return df
 
 
 class Tables:
@@ -15,12 +30,19 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = read(self.spark, f"{self.folder}/{name}.parquet")
         self.__dict__[name] = df
         return df
 
-    @property
-    def partsupp(self) -> DataFrame:
-        """Supply of a part by a supplier, derived from the lines that sold it."""
-        grouped = self.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
+    def supply(self, parts: DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+        """Supply of a part by a supplier, derived from the lines that sold it.
+
+        parts (p_partkey) and suppliers (s_suppkey) restrict the lines before they are grouped and shuffled.
+        """
+        lines = self.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        if parts is not None:
+            lines = lines.join(parts, lines["l_partkey"] == parts["p_partkey"], "left_semi")
+        if suppliers is not None:
+            lines = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"], "left_semi")
+        grouped = lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
         return grouped.agg(F.sum("l_quantity").alias("ps_availqty"), F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_supplycost"))
