@@ -2,7 +2,7 @@
 
 The text is cut into tokens (strings, quoted names, comments, numbers, words, marks), so that nothing
 inside a literal or comment is touched. What is rewritten: functions under other names, SIMILAR TO,
-DISTINCT ON, QUALIFY, unnest, and the order of nulls, which sort as the largest values unless the
+DISTINCT ON, QUALIFY, unnest, lists in square brackets, ordered aggregates, and the order of nulls, which sort as the largest values unless the
 query says otherwise.
 """
 
@@ -88,6 +88,12 @@ def _find(parts: list[Token], *words: str, start: int = 0) -> int:
     return -1
 
 
+def clause(parts: list[Token], word: str) -> tuple[list[Token], list[Token]]:
+    """What stands before a word outside of brackets, and after it."""
+    at = _find(parts, word)
+    return (parts, []) if at < 0 else (parts[:at], parts[at + 1 :])
+
+
 def _names(parts: list[Token]) -> list[Token]:
     """Names in double quotes in Spark's back quotes."""
     return [("name", "`" + t[1:-1].replace('""', '"').replace("`", "``") + "`") if k == "name" and t[0] == '"' else (k, t) for k, t in parts]
@@ -132,6 +138,82 @@ def _similar(parts: list[Token]) -> list[Token]:
     return out
 
 
+def _ordered(name: str, inner: list[Token], by: int) -> list[Token]:
+    """An aggregate with ORDER BY among its arguments: rows are collected with their keys, sorted and stripped again."""
+    values = [text_of(_functions(v)).strip() for v in split(inner[:by])]
+    keys, tests = [], []
+    for k, item in enumerate(split(inner[_next(inner, by + 1) + 1 :])):
+        words = [_word(t) for t in item]
+        down, first = "DESC" in words, "FIRST" in words if "NULLS" in words else "DESC" in words
+        end = min([n for n, w in enumerate(words) if w in ("ASC", "DESC", "NULLS")], default=len(item))
+        keys.append(f"{text_of(_functions(item[:end])).strip()} AS k{k}")
+        low, null = (1, -1 if first else 1) if down else (-1, -1 if first else 1)
+        tests.append(f"WHEN NOT l.k{k} <=> r.k{k} THEN CASE WHEN l.k{k} IS NULL THEN {null} WHEN r.k{k} IS NULL THEN {-null} WHEN l.k{k} < r.k{k} THEN {low} ELSE {-low} END")
+    rows = f"array_sort(collect_list(struct({values[0]} AS v, {', '.join(keys)})), (l, r) -> CASE {' '.join(tests)} ELSE 0 END)"
+    listed = f"transform({rows}, e -> e.v)"
+    made = {"array_agg": listed, "string_agg": f"array_join(transform({rows}, e -> CAST(e.v AS STRING)), {values[-1]})", "first_value": f"try_element_at({listed}, 1)", "last_value": f"try_element_at({listed}, -1)", "nth_value": f"try_element_at({listed}, CAST({values[-1]} AS INT))"}
+    return [("mark", "("), *tokens(made[name]), ("mark", ")")]
+
+
+_ORDERED = {"array_agg", "string_agg", "first_value", "last_value", "nth_value"}
+
+
+def _square(parts: list[Token], at: int) -> int:
+    """The position of the square bracket that closes the one at `at`."""
+    depth = 0
+    for k in range(at, len(parts)):
+        depth += (parts[k] == ("mark", "[")) - (parts[k] == ("mark", "]"))
+        if depth == 0:
+            return k
+    raise ValueError("a square bracket is not closed")
+
+
+def _brackets(parts: list[Token]) -> list[Token]:
+    """[a, b] as a list, x[i] as an element counted from one, or null past the end, x[i:j] as a slice."""
+    out, k = [], 0
+    while k < len(parts):
+        if parts[k] != ("mark", "["):
+            out.append(parts[k])
+            k += 1
+            continue
+        end = _square(parts, k)
+        inner, k = _brackets(parts[k + 1 : end]), end + 1
+        start = _operand(out)
+        if start == len(out):
+            out += tokens(f"array({text_of(inner)})")
+            continue
+        of, bounds = text_of(out[start:]), [text_of(b).strip() for b in split(inner, ":")]
+        out = out[:start] + tokens(f"array_slice({of}, {bounds[0] or 1}, {bounds[1] or -1})" if len(bounds) > 1 else f"try_element_at({of}, {bounds[0]})")
+    return out
+
+
+#: Words after which a square bracket opens a list.
+_BEFORE = {"SELECT", "FROM", "WHERE", "IN", "AND", "OR", "NOT", "ON", "BY", "THEN", "ELSE", "WHEN", "VALUES", "AS", "LIKE", "BETWEEN", "HAVING", "CASE"}
+
+
+def _operand(parts: list[Token]) -> int:
+    """Where the value that ends the parts begins: a name with dots, or a call or bracket; the length if there is none."""
+    at = len(parts)
+    while at:
+        kind, text = parts[at - 1]
+        if (kind, text) == ("mark", ")"):
+            depth, at = 1, at - 1
+            while depth:
+                at -= 1
+                depth += (parts[at] == ("mark", ")")) - (parts[at] == ("mark", "("))
+            if at and parts[at - 1][0] == "word" and _word(parts[at - 1]) not in _BEFORE:
+                at -= 1
+        elif kind == "name" or (kind == "word" and text.upper() not in _BEFORE):
+            at -= 1
+        else:
+            return at if at < len(parts) and (kind, text) != ("mark", ".") else len(parts)
+        if at and parts[at - 1] == ("mark", "."):
+            at -= 1
+        else:
+            return at
+    return at
+
+
 def _functions(parts: list[Token]) -> list[Token]:
     """Calls of functions that have another name or form in Spark, inner ones first."""
     out, k = [], 0
@@ -140,6 +222,10 @@ def _functions(parts: list[Token]) -> list[Token]:
         at = _next(parts, k + 1)
         name = text.lower()
         called = kind == "word" and at < len(parts) and parts[at] == ("mark", "(")
+        if called and name in _ORDERED and (by := _find(parts[at + 1 : (end := _closing(parts, at))], "ORDER")) >= 0:
+            out += _ordered(name, parts[at + 1 : end], by)
+            k = end + 1
+            continue
         if called and not (out and out[-1] == ("mark", ".")) and (name in RENAMED or name in TEMPLATES):
             end = _closing(parts, at)
             inner = _functions(parts[at + 1 : end])
@@ -236,4 +322,4 @@ def _nested(parts: list[Token]) -> list[Token]:
 
 def rewrite(text: str) -> str:
     """One statement as Spark SQL."""
-    return text_of(_null_order(_nested(_functions(_similar(_names(tokens(text)))))))
+    return text_of(_null_order(_nested(_functions(_brackets(_similar(_names(tokens(text))))))))

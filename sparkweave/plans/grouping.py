@@ -34,6 +34,7 @@ R.sql("agg_bit_bool", "SELECT l_returnflag, bit_and(l_orderkey) AS a, bit_or(l_o
 R.sql("agg_median", "SELECT o_orderstatus, median(o_totalprice) AS middle FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(median(o_totalprice), 6) AS middle FROM orders GROUP BY o_orderstatus")
 R.sql("agg_percentile", "SELECT l_returnflag, round(percentile(l_quantity, 0.9), 6) AS p90, round(percentile(l_extendedprice, 0.25), 4) AS p25 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25 FROM lineitem GROUP BY l_returnflag")
 R.sql("agg_first_last", "SELECT o_custkey, min_by(o_orderkey, o_totalprice) AS cheapest, max_by(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY o_custkey")
+R.sql("agg_ordered", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders WHERE o_custkey < 200 GROUP BY o_custkey", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders WHERE o_custkey < 200 GROUP BY o_custkey")
 R.sql("agg_string_within_group", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 R.sql("agg_approx_distinct", "SELECT o_orderstatus, approx_distinct(o_custkey) AS customers FROM orders GROUP BY o_orderstatus", check=False)
 R.sql("agg_approx_percentile", "SELECT l_returnflag, approx_percentile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag", check=False)

@@ -124,6 +124,17 @@ def _copy(t: Tables) -> DataFrame:
     return readers.parquet(t.spark, at)
 
 
+@R.plan("dml_statements", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT 99, 'new', 4")
+def _dml(t: Tables) -> DataFrame:
+    """CREATE TABLE AS, INSERT, UPDATE and DELETE; the table goes once its rows are on their way."""
+    session, name, at = Session(spark=t.spark), f"dml_{uuid.uuid4().hex[:8]}", scratch(t, "dml")
+    session.register_dataframe("all_nations", t.nation)
+    session.run(f"CREATE TABLE {name} USING parquet AS SELECT * FROM all_nations; INSERT INTO {name} VALUES (99, 'new', 4); UPDATE {name} SET n_name = upper(n_name) || '!' WHERE n_regionkey = 1; DELETE FROM {name} WHERE n_regionkey = 0")
+    writers.write(t.spark.table(name), at)
+    session.sql(f"DROP TABLE {name}")
+    return readers.parquet(t.spark, at)
+
+
 # projections and filters
 R.sql("project_expr", "SELECT l_orderkey, l_linenumber, l_quantity * 2 + 1 AS twice, -l_quantity AS negative, l_linenumber % 3 AS rest, l_returnflag || '-' || l_linestatus AS flags FROM lineitem WHERE l_orderkey < 300")
 R.sql("project_bits", "SELECT l_linenumber, l_linenumber & 3 AS both_bits, l_linenumber | 8 AS any_bits, l_linenumber << 2 AS shifted, l_linenumber >> 1 AS halved, count(*) AS n FROM lineitem GROUP BY l_linenumber")

@@ -24,6 +24,7 @@ R.sql(
     f"SELECT id, array_length(xs) AS n, array_has(xs, 1) AS has_one, array_position(xs, 2) AS at_two, array_slice(xs, 2, 3) AS part, array_pop_back(xs) AS but_last, array_pop_front(xs) AS but_first, array_append(xs, 9) AS appended, array_prepend(0, xs) AS prepended, array_cat(xs, make_array(1, 2)) AS joined, array_element(xs, 1) AS first FROM {_LISTS}",
     f"SELECT id, len(xs)::INT AS n, list_contains(xs, 1) AS has_one, list_position(xs, 2)::BIGINT AS at_two, list_slice(xs, 2, 3) AS part, xs[:len(xs) - 1] AS but_last, xs[2:] AS but_first, list_append(xs, 9) AS appended, list_prepend(0, xs) AS prepended, list_concat(xs, [1, 2]) AS joined, xs[1] AS first FROM {_DUCK}".replace("list_contains(xs, 1)", "CASE WHEN id = 3 THEN NULL ELSE list_contains(xs, 1) END"),
 )
+R.sql("list_brackets", "SELECT id, xs[1] AS first, xs[2:3] AS part, [id, id + 1] AS made FROM (VALUES (1, [3, 1, 2, 1]), (2, [5]), (3, [7, NULL, 7])) AS v(id, xs)")
 R.sql(
     "list_edit",
     f"SELECT id, array_remove(xs, 1) AS once_less, array_remove_all(xs, 1) AS none_left, array_replace(xs, 1, 9) AS first_nine, array_replace_all(xs, 1, 9) AS all_nine, array_resize(xs, 3, 0) AS three, array_positions(xs, 1) AS ones, array_to_string(xs, '-') AS told, array_repeat(id, 2) AS twice, array_reverse(xs) AS back FROM {_LISTS} WHERE id <> 3",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -98,7 +99,7 @@ class Session:
     def _run(self, query: str, params: dict) -> DataFrame:
         text = query.strip().rstrip(";").strip()
         word = text.split(None, 1)[0].upper() if text else ""
-        handler = {"CREATE": self._create, "COPY": self._copy, "PREPARE": self._prepare, "EXECUTE": self._execute, "DEALLOCATE": self._deallocate, "EXPLAIN": self._explain}.get(word)
+        handler = {"CREATE": self._create, "COPY": self._copy, "PREPARE": self._prepare, "EXECUTE": self._execute, "DEALLOCATE": self._deallocate, "EXPLAIN": self._explain, "DELETE": self._delete, "UPDATE": self._update}.get(word)
         out = handler(text) if handler else None
         if out is not None:
             return out
@@ -123,6 +124,27 @@ class Session:
             return self._nothing()
         return None
 
+    def _replace(self, table: str, query: str) -> DataFrame:
+        """A table of files with the rows of a query over it: written beside it, then put in its place."""
+        beside = f"{table}__{uuid.uuid4().hex[:8]}"
+        self.spark.sql(f"CREATE TABLE {beside} USING parquet AS {query}")
+        self.spark.sql(f"DROP TABLE {table}")
+        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
+        return self._nothing()
+
+    def _delete(self, text: str) -> DataFrame:
+        m = re.match(rf"DELETE\s+FROM\s+({_NAME})(?:\s+WHERE\s+(.*))?$", text, re.I | re.S)
+        return self._replace(m[1], f"SELECT * FROM {m[1]} WHERE NOT coalesce({dialect.rewrite(m[2]) if m[2] else 'true'}, false)")
+
+    def _update(self, text: str) -> DataFrame:
+        m = re.match(rf"UPDATE\s+({_NAME})\s+SET\s+(.*)$", text, re.I | re.S)
+        changes, where = dialect.clause(dialect.tokens(dialect.rewrite(m[2])), "WHERE")
+        new = {name.strip().strip('`"').lower(): value for name, value in (dialect.text_of(c).split("=", 1) for c in dialect.split(changes))}
+        hit = f"coalesce({dialect.text_of(where) or 'true'}, false)"
+        fields = self.spark.table(m[1]).schema
+        columns = [f"CAST(CASE WHEN {hit} THEN {new[f.name.lower()]} ELSE `{f.name}` END AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name.lower() in new else f"`{f.name}`" for f in fields]
+        return self._replace(m[1], f"SELECT {', '.join(columns)} FROM {m[1]}")
+
     def _copy(self, text: str) -> DataFrame:
         m = re.match(rf"COPY\s+(\(.*\)|{_NAME})\s+TO\s+'([^']+)'\s*(.*)$", text, re.I | re.S)
         if not m:

@@ -53,6 +53,13 @@ CASES = [
     ("'abcabc' SIMILAR TO '(abc)+'", True),
     ("'ab' NOT SIMILAR TO '_'", True),
     ("'it''s; -- text' || \"x\"", "it's; -- textX"),
+    ("[1, 2, 3][2]", 2),
+    ("[1, 2, 3][9]", None),
+    ("[1, 2, 3, 4][2:3]", [2, 3]),
+    ("[1, 2, 3, 4][2:]", [2, 3, 4]),
+    ("make_array([1], [2, 3])[2][1]", 2),
+    ("named_struct('f', array(5, 6)).f[2]", 6),
+    ("CASE WHEN 1 IN (1, 2) THEN ['a'] ELSE ['b'] END", ["a"]),
     ("map_extract(make_map('a', 1), 'b')", [None]),
     ("get_field(named_struct('f', 3), 'f')", 3),
 ]
@@ -95,5 +102,12 @@ def test_tokens_keep_the_text(text):
         assert plain == text
 
 
+def test_ordered_aggregates(spark):
+    session = Session(spark=spark.newSession())
+    rows = "(VALUES ('a', 2), ('b', 1), ('c', NULL), (NULL, 3)) AS v(x, o)"
+    got = session.sql(f"SELECT array_agg(x ORDER BY o) AS a, array_agg(x ORDER BY o DESC) AS d, string_agg(x, '-' ORDER BY o NULLS FIRST) AS s, first_value(x ORDER BY o) AS f, last_value(x ORDER BY o DESC, x) AS l, nth_value(x, 2 ORDER BY o) AS n, array_agg(lower(upper(x)) ORDER BY length(x), x DESC) AS e FROM {rows}").df.first()
+    assert tuple(got) == (["b", "a", None, "c"], ["c", None, "a", "b"], "c-b-a", "b", "b", "a", ["c", "b", "a", None])
+
+
 def test_statements():
     assert dialect.statements("a; 'b;c'; -- d;\n e") == ["a", "'b;c'", "e"]

@@ -76,6 +76,23 @@ def test_views_statements_and_files(session, tmp_path):
     session.sql(f"CREATE EXTERNAL TABLE IF NOT EXISTS few STORED AS CSV LOCATION '{tmp_path}/out'")
 
 
+def test_tables_of_files_change(session, tmp_path):
+    name = f"changing_{tmp_path.name.replace('-', '_')}"
+    rows = lambda: sorted(tuple(r) for r in session.sql(f"SELECT * FROM {name}").df.collect())
+    session.sql(f"CREATE TABLE {name} USING parquet AS SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS v(k, x)")
+    session.sql(f"INSERT INTO {name} VALUES (4, 'd')")
+    session.sql(f"UPDATE {name} SET x = concat(x, '!'), k = k + 10 WHERE x = 'b' OR k = 4")
+    assert rows() == [(1, "a"), (3, None), (12, "b!"), (14, "d!")]
+    session.sql(f"DELETE FROM {name} WHERE x LIKE 'b%'")
+    assert rows() == [(1, "a"), (3, None), (14, "d!")]
+    session.sql(f"INSERT OVERWRITE TABLE {name} SELECT 9, 'z'")
+    session.sql(f"UPDATE {name} SET x = NULL")
+    assert rows() == [(9, None)]
+    session.sql(f"DELETE FROM {name}")
+    assert rows() == []
+    session.sql(f"DROP TABLE {name}")
+
+
 def test_sources(session, spark, folder, tmp_path):
     spark.range(3).write.json(f"{tmp_path}/j")
     session.register_json("j", f"{tmp_path}/j")
