@@ -33,8 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders made by this process, until release().
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sparkweave/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/sparkweave/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this process has staged; results that read it can be read no longer."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
