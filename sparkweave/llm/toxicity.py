@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,33 +52,36 @@ class Model:
         return _sigmoid(scores[:, None] - self.cuts[None, :])
 
 
-def fit(texts: list[str], toxic: list[int], shares: tuple[float, float], steps: int = 300, decay: float = 0.02) -> Model | None:
+def fit(texts: Iterable[str], toxic: list[int], shares: tuple[float, float], steps: int = 300, decay: float = 0.02) -> Model | None:
     """shares: what part of all labelled rows is not toxic and toxic, which weighs the two samples. None without both classes."""
-    bags, y = [features(t) for t in texts], np.array(toxic, bool)
+    y = np.array(toxic, bool)
     if not y.any() or y.all():
         return None
-    df = [Counter(), Counter()]
-    for bag, t in zip(bags, y):
-        df[int(t)].update(bag.keys())
-    n = np.array([(~y).sum(), y.sum()], float)
-    words = sorted(w for w in df[0].keys() | df[1].keys() if df[0][w] + df[1][w] >= LEAST_DOCS)
-    seen = np.array([[df[0][w], df[1][w]] for w in words], float).reshape(-1, 2)
+    number: dict[str, int] = {}
+    bags = []  # of each document: numbers of its words, and how often each occurs
+    for text in texts:
+        counts = features(text)
+        bags.append((np.array([number.setdefault(w, len(number)) for w in counts], np.int32), np.array(list(counts.values()), np.int32)))
+    words, n = list(number), np.array([(~y).sum(), y.sum()], float)
+    seen = np.zeros((len(words), 2))  # documents of each class that have a word
+    for (at, _), t in zip(bags, y):
+        seen[at, int(t)] += 1
     odds = np.log((seen[:, 1] + 0.5) / (n[1] + 1)) - np.log((seen[:, 0] + 0.5) / (n[0] + 1))
     power = np.abs(odds) / np.sqrt((1 / (seen + 0.5)).sum(axis=1))
-    chosen = sorted(k for k in np.argsort(-power, kind="stable")[:FEATURES].tolist() if power[k] >= LEAST_Z)
+    fit_for = np.flatnonzero((seen.sum(axis=1) >= LEAST_DOCS) & (power >= LEAST_Z))
+    chosen = sorted(fit_for.tolist(), key=lambda k: (-power[k], words[k]))[:FEATURES]
     at = {words[k]: i for i, k in enumerate(chosen)}
-    indicative = {words[k] for k in chosen if odds[k] > 3}
-    hits = np.array([sum(bag[w] for w in indicative & bag.keys()) for bag in bags])
+    column = np.full(len(words), -1, np.int64)
+    column[chosen] = np.arange(len(chosen))
+    indicative = np.zeros(len(words), bool)
+    indicative[chosen] = odds[chosen] > 3
+    hits = np.array([times[indicative[w]].sum() for w, times in bags])
     thirds = np.quantile(hits[y], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grade = np.where(y, 1 + (hits[:, None] > thirds).sum(axis=1), 0)
 
-    rows, cols, values = [], [], []
-    for r, bag in enumerate(bags):
-        for w in at.keys() & bag.keys():
-            rows.append(r), cols.append(at[w]), values.append(np.log1p(bag[w]))
-    rows, cols, values = np.array(rows, np.int64), np.array(cols, np.int64), np.array(values)
-    order = np.lexsort((cols, rows))
-    rows, cols, values = rows[order], cols[order], values[order]
+    rows = np.repeat(np.arange(len(bags)), [len(w) for w, _ in bags])
+    cols, values = column[np.concatenate([w for w, _ in bags])], np.log1p(np.concatenate([times for _, times in bags]))
+    rows, cols, values = rows[cols >= 0], cols[cols >= 0], values[cols >= 0]
     weight = np.array(shares)[y.astype(int)] / n[y.astype(int)]
     # parameters: word weights, the first cut, logs of the distances to the next ones
     theta = np.zeros(len(at) + GRADES - 1)
@@ -116,9 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= MOST_CHARS)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # at most 2 * per_class rows: a bounded broadcast; a repeated document counts once
     found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
-    sample = found.select("text", "toxic").collect()
+    sample = found.select("text", "toxic").toArrow()
     whole = max(1, sum(total.values()))
-    return fit([r[0] for r in sample], [r[1] for r in sample], (total.get(0, 0) / whole, total.get(1, 0) / whole))
+    return fit((t.as_py() for t in sample.column("text")), sample.column("toxic").to_pylist(), (total.get(0, 0) / whole, total.get(1, 0) / whole))
 
 
 def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
