@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,15 +12,15 @@ from sparkweave.plans.registry import Registry
 from sparkweave.plans.tables import Tables
 from sparkweave.session import Session
 from sparkweave.sources import readers, writers
+from sparkweave.sources.shared import shared_dir
 
 R = Registry()
 c = F.col
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A new folder to write to: in the shared folder if there is one, else in a temporary one (local runs)."""
-    shared = t.spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='sparkweave-')}/{name}-{uuid.uuid4().hex[:8]}"
+    """A new folder to write to, below the shared one."""
+    return f"{shared_dir(t.spark)}/sparkweave/{name}-{uuid.uuid4().hex[:8]}"
 
 
 # scans and sinks
