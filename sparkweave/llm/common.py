@@ -69,7 +69,8 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+    """How many words a text has, 0 for null; each becomes one letter, so that no list of words is built of a very long text."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, F.lit(WORD), F.lit("x")), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def uniform(*cols: Column) -> Column:
