@@ -23,7 +23,8 @@ THRESHOLD = 0.6
 #: Characters on either side in which context words count.
 NEAR = 40
 
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match starts where a run of digits does, so that a long run is tried once
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_REST = re.compile(r"[^A-Za-z0-9._%+-]")

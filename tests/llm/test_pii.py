@@ -54,6 +54,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, kind string, spans int")
 
 
+def test_long_texts_take_no_longer_in_proportion():
+    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "a@" * 150_000, "+1" + "(" * 300_000, "A" * 300_000, "é1 " * 100_000):
+        assert pii.spans(text) == []
+
+
 def test_frames(spark):
     rows = [(1, "a@b.co"), (1, "a@b.co"), (2, None), (3, ""), (None, "é é +49 30 1234567"), (4, "x" * 200_000 + " 1.2.3.4")]
     got = pii.find(frame(spark, rows)).collect()
