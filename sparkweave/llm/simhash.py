@@ -12,6 +12,7 @@ in 64 bits, so that one coordinate still lets 47 % of all pairs through at radiu
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import combinations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweave.llm.common import checked, slices, stage, words_of
+from sparkweave.llm.common import checked, slices, stage
 from sparkweave.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -32,27 +33,45 @@ BANDS = (13, 13, 13, 13, 12)
 #: Fingerprints of one block that one task compares; a larger block is dealt out as pairs of chunks.
 CHUNK = 2048
 N_PIVOTS = 16
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded number of bytes at a time; a piece ends between two words."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.start() if found else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit by bit, the majority of the shingles' XXH64; zero for no words."""
-    if not words:
-        return 0
-    whole, ends, at = b" ".join(words), [], -1
-    for word in words:
-        at += 1 + len(word)
-        ends.append(at)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(whole, seed)]
-    else:
+    digest, set_bits, n, carried = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    # encode, lower and split of bytes know ASCII only, as the definition of words does
+    for fresh in _pieces(text.encode("utf-8", "surrogatepass").lower()) if text else ():
+        words, ends, at = carried + fresh, [], -1
+        carried = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
+        if len(words) < shingle:
+            continue
+        whole = b" ".join(words)
+        for word in words:
+            at += 1 + len(word)
+            ends.append(at)
         starts = [0, *[end + 1 for end in ends[: len(words) - shingle]]]
         hashes = [digest(whole[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
-    set_bits = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    majority = np.packbits(2 * set_bits > len(hashes), bitorder="little")
+        bits = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+        set_bits += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    if not n and carried:
+        n, bits = 1, np.array([digest(b" ".join(carried), seed)], "<u8").view(np.uint8)
+        set_bits += np.unpackbits(bits, bitorder="little")
+    majority = np.packbits(2 * set_bits > max(n, 1), bitorder="little")
     return int(majority.view("<u8")[0])
 
 
@@ -61,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = np.fromiter((fingerprint(words_of(t.as_py()), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -71,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            fps = np.fromiter((fingerprint(words_of(t.as_py()), shingle) for t in batch.column(text_col)), np.uint64, batch.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(text_col)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -72,6 +72,13 @@ def test_groups(spark, rows):
     assert got(simhash.near_duplicates(frame(spark, rows))) == expected(rows)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 30])
+def test_texts_in_pieces(rows, monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    for _, text in rows[:80]:
+        assert simhash.fingerprint(text) == bits(text)
+
+
 def test_tables_of_the_driver(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert got(simhash.near_duplicates(docs)) == expected([tuple(r) for r in docs.select("doc_id", "text").collect()])
