@@ -55,7 +55,7 @@ def frame(spark, rows):
 
 
 def test_long_texts_take_no_longer_in_proportion():
-    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "a@" * 150_000, "+1" + "(" * 300_000, "A" * 300_000, "é1 " * 100_000):
+    for text in ("1" * 300_000, "1.1.x" * 60_000, "a" * 300_000 + "@", "a@" * 150_000, "+1" + "(" * 300_000, "A" * 300_000, "é1 " * 100_000):
         assert pii.spans(text) == []
 
 
