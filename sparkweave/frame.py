@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,28 @@ def chunked(table: pa.Table, most: int) -> list[pa.RecordBatch]:
     return [b for b in table.combine_chunks().to_batches(max_chunksize=most) if b.num_rows]
 
 
+class BatchStream:
+    """Batches one after the other, for `for` as well as `async for`; schema is known before the first."""
+
+    def __init__(self, schema: pa.Schema, batches: Iterator[pa.RecordBatch]):
+        self.schema, self._batches = schema, batches
+
+    def __iter__(self) -> BatchStream:
+        return self
+
+    def __next__(self) -> pa.RecordBatch:
+        return next(self._batches)
+
+    def __aiter__(self) -> BatchStream:
+        return self
+
+    async def __anext__(self) -> pa.RecordBatch:
+        batch = await asyncio.to_thread(next, self._batches, None)
+        if batch is None:
+            raise StopAsyncIteration
+        return batch
+
+
 @dataclass(frozen=True)
 class Stage:
     """A part of the physical plan between exchanges."""
@@ -110,12 +133,13 @@ class Query:
             self._batches = chunked(self.df.toArrow(), self.batch_size)
         return self._batches
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
+    def batches(self) -> BatchStream:
         """The rows as a stream of batches: a partition at a time comes to the driver."""
-        if self._batches is not None:
-            yield from self._batches
-            return
-        schema, held = self.schema(), []
+        schema = self.schema()
+        return BatchStream(schema, self._stream(schema) if self._batches is None else iter(self._batches))
+
+    def _stream(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        held = []
         for row in self.df.toLocalIterator(prefetchPartitions=True):
             held.append(row.asDict(recursive=True))
             if len(held) == self.batch_size:

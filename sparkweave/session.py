@@ -14,15 +14,21 @@ from sparkweave.sources import readers, writers
 _NAME = r'(?:"[^"]+"|`[^`]+`|[\w.]+)'
 
 
-def spark_session(app: str = "sparkweave", master: str | None = None, **settings: str) -> SparkSession:
-    """A Spark session with the settings this engine counts on: UTC, adaptive plans, Arrow transfer."""
+def spark_session(app: str = "sparkweave", master: str | None = None, log_level: str | None = None, worker_env: dict[str, str] | None = None, **settings: str) -> SparkSession:
+    """A Spark session with the settings this engine counts on: UTC, adaptive plans, Arrow transfer.
+
+    worker_env goes to the environment of the executors.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
-    for key, value in {**defaults, **settings}.items():
+    for key, value in {**defaults, **{f"spark.executorEnv.{k}": v for k, v in (worker_env or {}).items()}, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if log_level:
+        spark.sparkContext.setLogLevel(log_level)
+    return spark
 
 
 class Session:

@@ -1,5 +1,7 @@
 """The session, its lazy queries and its options."""
 
+import asyncio
+
 import pyarrow as pa
 import pytest
 from conftest import plain
@@ -23,6 +25,15 @@ def test_batches_are_cut_to_the_limit(spark):
     assert [b.num_rows for b in Query(spark.range(8), 3).batches()] == [3, 3, 2]
 
 
+def test_batches_as_an_async_stream(spark):
+    async def lengths():
+        stream = Query(spark.range(8), 3).batches()
+        assert stream.schema.names == ["id"]
+        return [b.num_rows async for b in stream]
+
+    assert asyncio.run(lengths()) == [3, 3, 2]
+
+
 def test_an_empty_result_is_remembered(session, monkeypatch):
     query = session.sql("SELECT * FROM orders WHERE 1 = 0")
     assert query.collect() == []
