@@ -24,10 +24,12 @@ def join(left: DataFrame, right: DataFrame, on: Column | list[str] | str | None,
 
 
 def mark(left: DataFrame, right: DataFrame, on: Column, name: str = "mark") -> DataFrame:
-    """left with a flag that says whether a row of right fits; a row of left stays one row."""
-    numbered = left.withColumn("__row", F.monotonically_increasing_id())
-    hits = numbered.join(right, on, "left_semi").select(F.col("__row").alias("__hit"))
-    return numbered.join(hits, F.col("__row") == F.col("__hit"), "left").withColumn(name, F.col("__hit").isNotNull()).drop("__row", "__hit")
+    """left with a flag that says whether a row of right fits; a row of left stays one row.
+
+    The rows that fit and those that don't are two joins over the same exchanges, and need no row numbers.
+    """
+    fits, rest = left.join(right, on, "left_semi"), left.join(right, on, "left_anti")
+    return fits.withColumn(name, F.lit(True)).unionAll(rest.withColumn(name, F.lit(False)))
 
 
 def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
