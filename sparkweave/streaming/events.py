@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A stream with its watermark, which takes instants; a table's times without zone stay as they are."""
+    if not events.isStreaming:
+        return events
+    source = events.withColumn(time, F.col(time).cast("timestamp"))
+    return source.withWatermark(time, late) if late else source
+
+
 def windowed(events: DataFrame, width: str, *aggregates: Column, slide: str | None = None, keys: tuple[str, ...] = (), time: str = "ts", late: str | None = None) -> DataFrame:
     """Aggregates for each tumbling or sliding window and key. On a stream, rows later than `late` are dropped and windows close then."""
-    source = events.withColumn(time, F.col(time).cast("timestamp"))
-    source = source.withWatermark(time, late) if late and source.isStreaming else source
+    source = _timed(events, time, late)
     window = F.window(time, width, slide) if slide else F.window(time, width)
     out = source.groupBy(window.alias("w"), *keys).agg(*aggregates)
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end"), *[c for c in out.columns if c != "w"])
@@ -18,8 +25,7 @@ def windowed(events: DataFrame, width: str, *aggregates: Column, slide: str | No
 
 def sessions(events: DataFrame, gap: str, *aggregates: Column, keys: tuple[str, ...] = (), time: str = "ts", late: str | None = None) -> DataFrame:
     """Aggregates for each run of a key's events that no gap interrupts; a session ends a gap after its last event."""
-    source = events.withColumn(time, F.col(time).cast("timestamp"))
-    source = source.withWatermark(time, late) if late and source.isStreaming else source
+    source = _timed(events, time, late)
     out = source.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*aggregates)
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), *[c for c in out.columns if c != "w"])
 
