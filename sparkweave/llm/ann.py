@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweave.llm.common import stage
 
@@ -63,8 +64,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int) -> DataFrame:
-    """vectors (id, v, shell) with a row for each table and probed bucket."""
+def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int, carry: bool = True) -> DataFrame:
+    """A row of vectors (id, v, shell) for each table and probed bucket; carry: with the vector."""
+    kept = ["id", "v", "shell"] if carry else ["id", "shell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,10 +76,11 @@ def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int) -> DataFram
                 for table in range(tables):
                     own = buckets(rotated(unit, table, seed), probes).astype(np.int32)
                     at, own = pa.array(np.repeat(every, own.shape[1])), own.ravel()
-                    columns = [batch.column(c).take(at) for c in ("id", "v", "shell")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(own), table, np.int32)), pa.array(own)], ["id", "v", "shell", "tab", "bucket"])
+                    columns = [batch.column(c).take(at) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(own), table, np.int32)), pa.array(own)], [*kept, "tab", "bucket"])
 
-    return vectors.select("id", "v", "shell").mapInArrow(run, "id long, v array<double>, shell int, tab int, bucket int")
+    kind = {"id": "long", "v": vectors.schema["v"].dataType.simpleString(), "shell": "int"}
+    return vectors.select("id", "v", "shell").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in kept) + ", tab int, bucket int")
 
 
 def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,14 +121,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     vectors each count; with equal ones, once. Empty tables give an empty result. Every row is hashed.
     """
 
+    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
+
     def valid(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col).cast("array<double>")
+        v = F.col(vector_col).cast("array<float>" if single else "array<double>")  # single precision stays so until it is multiplied
         slim = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return slim.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0.0))
 
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    norm = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) / 2
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    norm = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / largest) * (x.cast("double") / largest))) / 2
     rows = valid(vectors).withColumn("shell", F.floor(2 * norm + 0.5).cast("int"))
     sizes = rows.groupBy(F.size("v").alias("d"), "shell").count().collect()  # a row for each length and shell
     if not sizes:
@@ -139,11 +144,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = valid(queries).where(F.size("v") == width).withColumn("shell", F.explode(F.array(*map(F.lit, shells))))
 
     spot = ["shell", "tab", "bucket"]
-    stored, asked = _hashed(rows, 1, tables, seed), _hashed(asked, probes, tables, seed)
-    both = stage(stored.withColumn("side", F.lit(1)).unionByName(asked.withColumn("side", F.lit(0))), "hashed")
-    counts = both.groupBy(*spot).agg(*[F.ceil(F.count(F.when(F.col("side") == side, 1)) / CHUNK).cast("int").alias(name) for side, name in ((0, "qs"), (1, "vs"))])
+
+    def hashed(carry: bool) -> DataFrame:
+        """Rows (side 1) and queries (side 0) with their buckets; hashed again where they are counted, rather than stored so often."""
+        return _hashed(rows, 1, tables, seed, carry).withColumn("side", F.lit(1)).unionByName(_hashed(asked, probes, tables, seed, carry).withColumn("side", F.lit(0)))
+
+    counts = hashed(False).groupBy(*spot).agg(*[F.ceil(F.count(F.when(F.col("side") == side, 1)) / CHUNK).cast("int").alias(name) for side, name in ((0, "qs"), (1, "vs"))])
     full = stage(counts.where("qs > 0 and vs > 0"), "buckets")
-    met = both.join(F.broadcast(full), spot)  # shells * tables * 2 * width rows at most
+    met = hashed(True).join(F.broadcast(full), spot)  # shells * tables * 2 * width rows at most
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     mine, others = F.when(F.col("side") == 0, chunk("qs")).otherwise(chunk("vs")), F.when(F.col("side") == 0, F.col("vs")).otherwise(F.col("qs"))
     tiled = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
