@@ -26,8 +26,8 @@ _FIELDS = "source string, lang string, version string, docs long, tokens long"
 
 
 def counted(docs: DataFrame, tokenizer: str, by_word: bool = True, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
-    """docs without its text column, but with the number of its token ids; of a null or empty text 0."""
-    columns = [c for c in docs.columns if c != text_col]
+    """docs without its text column, but with the number of its token ids in place of any column of that name; of a null or empty text 0."""
+    columns = [c for c in docs.columns if c not in (text_col, name)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(tokenizer, by_word)

@@ -80,7 +80,7 @@ def test_empty_shards(spark):
 
 def test_rollup(spark):
     rows = [(k, f"words {k} and more", ["a", "b", None][k % 3], ["en", None][k % 2]) for k in range(60)] + [(60, None, "a", "en"), (61, "", "b", "en")]
-    counts = rollup.counted(frame(spark, rows).drop("n_tokens"), PATH)
+    counts = rollup.counted(frame(spark, rows), PATH)
     table = rollup.new(spark)
 
     def check(want):
