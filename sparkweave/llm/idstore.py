@@ -195,7 +195,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Reader:
-    """Keyed access for one process: the manifest in memory (a row a shard), one index at a time."""
+    """Keyed access for one process: the manifest in memory (a row a shard), and the indexes used last; a key costs the
+    same whatever the number of documents in its shard."""
+
+    #: Indexes to keep.
+    HELD = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.store, self.rows = Store(root), sorted((r.asDict() for r in manifest(spark, root).collect()), key=lambda r: r["shard"])
@@ -211,8 +215,10 @@ class Reader:
             if row["last_key"] < key:
                 continue
             name, width = row["name"], row["width"]
-            index = self.loaded.get(name) or Index.load(self.store.read(f"{name}.mph"))
-            self.loaded = {name: index}
+            index = self.loaded.pop(name, None) or Index.load(self.store.read(f"{name}.mph"))
+            self.loaded[name] = index
+            if len(self.loaded) > self.HELD:
+                self.loaded.pop(next(iter(self.loaded)))
             first, copies = (int(x[0]) for x in index.rows(np.array([key], np.int64)))
             for r in range(first, first + copies):
                 a, b = int(index.offsets[r]), int(index.offsets[r + 1])
