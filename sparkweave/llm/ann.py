@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweave.llm.common import stage
+from sparkweave.llm.common import checked, stage
 
 TABLES, PROBES, SEED = 16, 8, 2
 #: Rows, and queries, of one tile at most (nearly: chunks are dealt by hash).
@@ -64,6 +65,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v, shell) of the rows whose vector takes part; shell: the norm in half powers of two. Single precision stays so."""
+    single = isinstance(df.schema[vector_col].dataType.elementType, T.FloatType)
+    kind = "float" if single else "double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(v), 0), np.int64)
+            x = np.abs(np.asarray(pc.fill_null(v.flatten(), float("nan")), np.float64))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            strange, largest = np.bincount(row, ~np.isfinite(x), len(sizes)), np.zeros(len(sizes))
+            np.maximum.at(largest, row, x)
+            good = (strange == 0) & (largest > 0) & np.asarray(pc.is_valid(batch.column("id")))
+            scaled = np.divide(x, largest[row], out=np.zeros_like(x), where=good[row])
+            norm = np.log2(largest, out=np.zeros(len(sizes)), where=good) + np.log2(np.bincount(row, scaled * scaled, len(sizes)), out=np.zeros(len(sizes)), where=good) / 2
+            shell = np.floor(2 * norm + 0.5).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), v, pa.array(shell)], ["id", "v", "shell"]).filter(pa.array(good))
+
+    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    return slim.mapInArrow(run, f"id long, v array<{kind}>, shell int")
+
+
 def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int, carry: bool = True) -> DataFrame:
     """A row of vectors (id, v, shell) for each table and probed bucket; carry: with the vector."""
     kept = ["id", "v", "shell"] if carry else ["id", "shell"]
@@ -120,18 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     or non-finite component, or have another length than most. Repeated rows of an id with different
     vectors each count; with equal ones, once. Empty tables give an empty result. Every row is hashed.
     """
-
-    single = vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull)
-
-    def valid(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col).cast("array<float>" if single else "array<double>")  # single precision stays so until it is multiplied
-        slim = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-        finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return slim.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0.0))
-
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    norm = F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x.cast("double") / largest) * (x.cast("double") / largest))) / 2
-    rows = valid(vectors).withColumn("shell", F.floor(2 * norm + 0.5).cast("int"))
+    rows, asked = (stage(_valid(df, id_col, vector_col), label) for df, label in ((vectors, "vectors"), (queries, "queries")))
     sizes = rows.groupBy(F.size("v").alias("d"), "shell").count().collect()  # a row for each length and shell
     if not sizes:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -141,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     width = max(by_length, key=lambda d: (by_length[d], -d))
     shells = sorted({row["shell"] for row in sizes if row["d"] == width})
     rows = rows.where(F.size("v") == width)
-    asked = valid(queries).where(F.size("v") == width).withColumn("shell", F.explode(F.array(*map(F.lit, shells))))
+    asked = asked.where(F.size("v") == width).withColumn("shell", F.explode(F.array(*map(F.lit, shells))))
 
     spot = ["shell", "tab", "bucket"]
 
@@ -151,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     counts = hashed(False).groupBy(*spot).agg(*[F.ceil(F.count(F.when(F.col("side") == side, 1)) / CHUNK).cast("int").alias(name) for side, name in ((0, "qs"), (1, "vs"))])
     full = stage(counts.where("qs > 0 and vs > 0"), "buckets")
-    met = hashed(True).join(F.broadcast(full), spot)  # shells * tables * 2 * width rows at most
+    met = hashed(True).join(checked(full), spot)
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     mine, others = F.when(F.col("side") == 0, chunk("qs")).otherwise(chunk("vs")), F.when(F.col("side") == 0, F.col("vs")).otherwise(F.col("qs"))
     tiled = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
