@@ -96,9 +96,12 @@ class Encoder:
         distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
         if len(self.known) > self.MOST_KNOWN:
             self.known = {"": b""}
-        self._learn([x for x in distinct if x not in self.known])
-        ids = [self.known[x] for x in distinct]
-        lengths = np.array([len(x) for x in ids], np.int32) // 4
+        ids = list(map(self.known.get, distinct))
+        if fresh := [k for k, found in enumerate(ids) if found is None]:
+            self._learn([distinct[k] for k in fresh])
+            for k in fresh:
+                ids[k] = self.known[distinct[k]]
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         pool, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(lengths, dtype=np.int64) - lengths
         taken = lengths[codes]
         ends = np.cumsum(taken, dtype=np.int64)
