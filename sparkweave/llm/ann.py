@@ -1,7 +1,8 @@
 """Nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking.
 
 Each table turns a unit vector by three rounds of random signs and a fast Hadamard transform and takes
-the nearest signed axis as its bucket; a query looks into the buckets of its nearest axes (multiprobe).
+the nearest signed axis as its bucket; a query looks into the buckets of its nearest axes (multiprobe),
+of those that hold rows. A query that finds fewer rows than it is due is compared with all rows.
 Whatever shares a bucket is compared by the inner product of the original vectors in double precision,
 where it is: rows meet the queries of their bucket in tiles of bounded size, and a task keeps the best
 of each query. Andoni et al., "Practical and Optimal LSH for Angular Distance" (2015). Vectors of
@@ -11,7 +12,7 @@ the largest inner products are found as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweave.llm.common import checked, stage
+from sparkweave.llm.common import checked, ship, stage
 
 TABLES, PROBES, SEED = 16, 8, 2
 #: Rows, and queries, of one tile at most (nearly: chunks are dealt by hash).
@@ -50,9 +51,11 @@ def rotated(vectors: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return v
 
 
-def buckets(v: np.ndarray, probes: int = 1) -> np.ndarray:
-    """The nearest signed axes, nearest first; axis k is bucket 2k, its opposite 2k + 1."""
+def buckets(v: np.ndarray, probes: int = 1, held: np.ndarray | None = None) -> np.ndarray:
+    """The nearest signed axes, nearest first; axis k is bucket 2k, its opposite 2k + 1. Buckets that are not held come last."""
     near = np.stack([v, -v], axis=2).reshape(len(v), -1)
+    if held is not None:
+        near = np.where(held, near, -np.inf)
     return np.argsort(-near, axis=1, kind="stable")[:, :probes]
 
 
@@ -88,18 +91,23 @@ def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return slim.mapInArrow(run, f"id long, v array<{kind}>, shell int")
 
 
-def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int, carry: bool = True) -> DataFrame:
-    """A row of vectors (id, v, shell) for each table and probed bucket; carry: with the vector."""
+def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int, carry: bool = True, held: Callable | None = None) -> DataFrame:
+    """A row of vectors (id, v, shell) for each table and probed bucket; carry: with the vector; held: only buckets that hold rows, see _held()."""
     kept = ["id", "v", "shell"] if carry else ["id", "shell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shells, full = (None, None) if held is None else held()
         for whole in batches:
             for k in range(0, whole.num_rows, 2048):
                 batch = whole.slice(k, 2048)
                 unit, every = _unit(_matrix(batch.column("v"))), np.arange(batch.num_rows)
+                if held is not None:
+                    shell = np.searchsorted(shells, np.asarray(batch.column("shell")))
                 for table in range(tables):
-                    own = buckets(rotated(unit, table, seed), probes).astype(np.int32)
-                    at, own = pa.array(np.repeat(every, own.shape[1])), own.ravel()
+                    mine = None if held is None else full[shell, table]
+                    own = buckets(rotated(unit, table, seed), probes, mine).astype(np.int32)
+                    some = np.ones(own.shape, bool) if mine is None else np.take_along_axis(mine, own, 1)
+                    at, own = pa.array(np.repeat(every, own.shape[1])[some.ravel()]), own[some]
                     columns = [batch.column(c).take(at) for c in kept]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(own), table, np.int32)), pa.array(own)], [*kept, "tab", "bucket"])
 
@@ -107,6 +115,14 @@ def _hashed(vectors: DataFrame, probes: int, tables: int, seed: int, carry: bool
     return vectors.select("id", "v", "shell").mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in kept) + ", tab int, bucket int")
 
 
+def _held(counts: DataFrame, shells: list[int], tables: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shells, and which buckets of each shell and table hold rows: as many bits as there are buckets, whatever the rows."""
+    full = np.zeros((len(shells), tables, 2 << max(1, (width - 1).bit_length())), bool)
+    for row in counts.groupBy("shell", "tab").agg(F.collect_set("bucket").alias("buckets")).collect():
+        full[shells.index(row["shell"]), row["tab"], row["buckets"]] = True
+    return np.array(shells), full
+
+
 def _best(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (query, vector, score), each pair once and the k best of each query: higher scores, then smaller ids."""
     order = np.lexsort((v, -s, q))
@@ -137,7 +153,7 @@ def _tile(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
-    """(query_id, rank, vec_id, score): of each query row, the k rows found with the largest inner product.
+    """(query_id, rank, vec_id, score): of each query row, the k rows found with the largest inner product, all candidates if fewer.
 
     queries has the columns of vectors; a row with the query's own id is no candidate. Ties go to the
     smaller id. Ids, and vectors, that are null take no part, nor do vectors that are zero, hold a null
@@ -153,18 +169,33 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         by_length[row["d"]] = by_length.get(row["d"], 0) + row["count"]
     width = max(by_length, key=lambda d: (by_length[d], -d))
     shells = sorted({row["shell"] for row in sizes if row["d"] == width})
-    rows = rows.where(F.size("v") == width)
-    asked = asked.where(F.size("v") == width).withColumn("shell", F.explode(F.array(*map(F.lit, shells))))
+    rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
+    probing = asked.withColumn("shell", F.explode(F.array(*map(F.lit, shells))))
 
+    # hashed again where they are counted, rather than stored so often
+    spot = ["shell", "tab", "bucket"]
+    filled = stage(_hashed(rows, 1, tables, seed, False).groupBy(*spot).count(), "filled")
+    held = ship(queries.sparkSession, _held(filled, shells, tables, width))
+    met = _hashed(probing, probes, tables, seed, False, held).groupBy(*spot).count()
+    tiles = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    full = stage(met.withColumnRenamed("count", "q").join(filled.withColumnRenamed("count", "n"), spot).select(*spot, tiles("q").alias("qs"), tiles("n").alias("vs")), "buckets")
+    hashed = _hashed(rows, 1, tables, seed).withColumn("side", F.lit(1)).unionByName(_hashed(probing, probes, tables, seed, held=held).withColumn("side", F.lit(0)))
+    best = stage(_nearest(hashed.join(checked(full), spot), k), "nearest")
+
+    # queries with fewer than k rows meet all rows, as if these were one bucket
+    short = stage(asked.join(best.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti"), "short")
+    n = short.count()
+    if not n:
+        return best
+    every = rows.withColumn("side", F.lit(1)).unionByName(short.withColumn("side", F.lit(0)))
+    one = {"shell": F.lit(0), "tab": F.lit(0), "bucket": F.lit(0), "qs": F.lit(-(-n // CHUNK)), "vs": F.lit(-(-by_length[width] // CHUNK))}
+    rest = _nearest(every.withColumns(one), k)
+    return best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*best.columns).unionByName(rest)
+
+
+def _nearest(met: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from rows (side 1) and queries (side 0) of buckets (shell, tab, bucket) with qs by vs tiles."""
     spot = ["shell", "tab", "bucket"]
-
-    def hashed(carry: bool) -> DataFrame:
-        """Rows (side 1) and queries (side 0) with their buckets; hashed again where they are counted, rather than stored so often."""
-        return _hashed(rows, 1, tables, seed, carry).withColumn("side", F.lit(1)).unionByName(_hashed(asked, probes, tables, seed, carry).withColumn("side", F.lit(0)))
-
-    counts = hashed(False).groupBy(*spot).agg(*[F.ceil(F.count(F.when(F.col("side") == side, 1)) / CHUNK).cast("int").alias(name) for side, name in ((0, "qs"), (1, "vs"))])
-    full = stage(counts.where("qs > 0 and vs > 0"), "buckets")
-    met = hashed(True).join(checked(full), spot)
     chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     mine, others = F.when(F.col("side") == 0, chunk("qs")).otherwise(chunk("vs")), F.when(F.col("side") == 0, F.col("vs")).otherwise(F.col("qs"))
     tiled = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))

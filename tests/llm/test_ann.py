@@ -40,6 +40,40 @@ def test_recall_and_scores(spark, norms):
     assert got["query_id"].nunique() == 75 and hits / total >= 0.9
 
 
+@pytest.mark.parametrize("n", [5, 10, 21, 50, 100])
+def test_few_rows_of_many_values(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    rows = [(k, v.astype(np.float32)) for k, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    df, hits = frame(spark, rows), 0
+    got = ann.search(df, df, 20).toPandas()
+    for q in range(n):
+        mine, want = got[got["query_id"] == q].sort_values("rank"), brute(rows, q, 20)
+        assert mine["rank"].tolist() == list(range(1, len(want) + 1))
+        hits += len(set(mine["vec_id"]) & {i for i, _ in want})
+    assert hits >= 0.9 * n * min(20, n - 1)
+
+
+def test_queries_far_from_tight_groups(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(r.normal(size=(3, 64)), 400, axis=0) + 0.02 * r.normal(size=(1200, 64)), r.normal(size=(12, 64))])
+    rows = [(k, v.astype(np.float32)) for k, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    df = frame(spark, rows)
+    got = ann.search(df, df.where("vec_id >= 1200"), 20).toPandas()
+    for q in range(1200, 1212):
+        assert len(set(got[got["query_id"] == q]["vec_id"]) & {i for i, _ in brute(rows, q, 20)}) >= 18
+
+
+@pytest.mark.parametrize("chunk", [4, 16_384])
+def test_a_query_whose_buckets_hold_too_few(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    x = np.random.default_rng(2).normal(size=(60, 64))
+    rows = [(k, v.astype(np.float32)) for k, v in enumerate(x)]
+    df = frame(spark, rows)
+    got = ann.search(df, df.where("vec_id % 7 = 0"), 20, tables=1, probes=1).toPandas()
+    for q in range(0, 60, 7):
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == [i for i, _ in brute(rows, q, 20)]
+
+
 def test_copies_tie_to_smaller_ids(spark):
     v = np.eye(64)[3]
     df = frame(spark, [(k, v) for k in range(60, 0, -1)] + [(100, -v)])
