@@ -31,6 +31,8 @@ _LOCAL_REST = re.compile(r"[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an IBAN without spaces, by country.
+_IBAN_LENGTH = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 _ABA = re.compile(r"(?<![0-9.+-])[0-9]{9}(?![0-9.-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
@@ -106,6 +108,20 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Confirmed IBANs: the longest match, or what its country's length leaves of it before a space; what follows is looked at anew."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        end = m.end()
+        if not mod97(m[0]):
+            ends = [k for k in range(m.start() + 1, m.end()) if text[k] == " " and k - m.start() - text.count(" ", m.start(), k) == _IBAN_LENGTH.get(m[0][:2])]
+            end = ends[0] if ends and mod97(text[m.start() : ends[0]]) else m.start() + 1
+        if end > m.start() + 1:
+            out.append((m.start(), end))
+        m = _IBAN.search(text, end)
+    return out
+
+
 def context(text: str, start: int, end: int, kind: str) -> float:
     """What the words nearby add to the score."""
     near = set(re.findall(r"[a-z]+", f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()))
@@ -115,12 +131,13 @@ def context(text: str, start: int, end: int, kind: str) -> float:
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of all spans: the base kinds as listed, then the others, each by start."""
     out = [(kind, a, b, min(1.0, max(0.0, PRIOR[kind] + context(text, a, b, kind)))) for kind, found in base_spans(text).items() for a, b in found]
-    for kind, pattern, confirms in (("iban", _IBAN, mod97), ("aba", _ABA, routing), ("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000")):
-        for m in pattern.finditer(text):
-            if confirms(m[0]):
-                score = min(1.0, CONFIRMED[kind] + context(text, *m.span(), kind))
-                if score >= THRESHOLD:
-                    out.append((kind, *m.span(), score))
+    further = [("iban", a, b) for a, b in _ibans(text)]
+    for kind, pattern, confirms in (("aba", _ABA, routing), ("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000")):
+        further += [(kind, *m.span()) for m in pattern.finditer(text) if confirms(m[0])]
+    for kind, a, b in further:
+        score = min(1.0, CONFIRMED[kind] + context(text, a, b, kind))
+        if score >= THRESHOLD:
+            out.append((kind, a, b, score))
     return out
 
 

@@ -38,6 +38,16 @@ def test_known_spans():
     assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text)] == [("email", "Jo.E+x@mail.example.org"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+44 (0)20 7946 0958"), ("iban", "GB82 WEST 1234 5698 7654 32")]
 
 
+def test_ibans_before_capitals_and_digits():
+    spain, belgium, austria = "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "AT61 1904 3002 3457 3201"
+    for iban in (spain, belgium, austria):
+        for after in ("", " BIC", " EUR", " 7", " 12 X", " ABCD 1234", " Euro"):
+            assert [(k, a, b) for k, a, b, _ in pii.spans(f"to {iban}{after}.") if k == "iban"] == [("iban", 3, 3 + len(iban))]
+    text = f"XX12 ABCD {spain} {belgium} {austria} EUR"
+    assert [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"] == [spain, belgium, austria]
+    assert pii.spans(f"{spain[:-1]}3 BIC") == [] and pii.spans("AB12 CDEF " * 5_000) == []
+
+
 def test_context_decides_what_a_checksum_leaves_open():
     assert [k for k, *_ in pii.spans("routing number 021000021")] == ["aba"] and pii.spans("order 021000021") == [] and pii.spans("bank 021000022") == []
     assert [k for k, *_ in pii.spans("my SSN is 219-09-9999")] == ["ssn"] and pii.spans("219-09-9999") == [] and pii.spans("ssn 000-09-9999") == []
