@@ -98,12 +98,13 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     below = F.when(F.col("class").isNull(), 1.0).otherwise(F.col("class") / CLASSES)
     bounded = stage(scaled.join(cut, "src", "left").join(last, "src", "left").select(*scaled.columns, below.alias("below"), F.coalesce("upto", F.lit(-1.0)).alias("upto")), "bounded")
 
-    # the document that best fills what is left
+    # the document that best fills what is left, with the rows that are tied with it
     sampled = _choice(rows.join(checked(bounded), F.col("source").eqNullSafe(F.col("of"))), epochs)
     takes = (F.col("rank") < F.col("below")) | (F.col("rank") <= F.col("upto"))
     gaps = stage(sampled.groupBy("src").agg((F.first("target") - F.sum(F.col("size") * (F.col("certain") + F.coalesce(takes.cast("int"), F.lit(0))))).alias("gap")), "gaps")
-    over = F.abs(F.col("size") - F.col("gap"))
-    closing = sampled.where(F.col("rank").isNotNull() & ~takes).join(checked(gaps), "src").where(over < F.col("gap")).groupBy("src").agg(F.min(F.struct(over.alias("over"), "rank")).alias("closing")).select("src", F.col("closing.rank").alias("closing"))
+    over = F.abs(F.col("tied") - F.col("gap"))
+    tied = sampled.where(F.col("rank").isNotNull() & ~takes).groupBy("src", "rank").agg(F.sum("size").alias("tied"))
+    closing = tied.join(checked(gaps), "src").where(over < F.col("gap")).groupBy("src").agg(F.min(F.struct(over.alias("over"), "rank")).alias("closing")).select("src", F.col("closing.rank").alias("closing"))
     return rows, stage(bounded.join(closing, "src", "left"), "sources")
 
 

@@ -70,6 +70,13 @@ def test_repeated_rows_are_taken_alike(spark):
     assert got.groupby("doc_id")["copies"].nunique().max() == 1
 
 
+def test_tied_rows_close_a_source_only_if_they_fit(spark):
+    rows = [(1, "w " * 10, "x")] * 100 + [(2 + k, "w " * (1 + k % 9), "x") for k in range(100)]
+    for share in (0.1, 0.2):
+        got = mixing.mix(frame(spark, rows), share=share).toPandas()
+        assert got.loc[got["doc_id"] == 1, "copies"].sum() == 0 and 0 < got["taken"].sum() <= got["target"].iloc[0] * 1.1
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "one", "a")], [(None, None, None), (None, "a b", None)]])
 def test_small_tables(spark, rows):
     got = mixing.mix(frame(spark, rows)).collect()

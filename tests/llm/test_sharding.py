@@ -42,6 +42,17 @@ def test_groups_stay_together_unless_they_are_overfull(spark):
     assert (split > 1).mean() <= 0.1
 
 
+@pytest.mark.parametrize("numbered, i, text", [(700, 5000, "the same text " * 20), (200_000, None, None)])
+def test_equal_rows_are_dealt_out(spark, monkeypatch, numbered, i, text):
+    monkeypatch.setattr(sharding, "NUMBERED", numbered)
+    rows = [(k, f"text {k} ") for k in range(300)] + [(i, text)] * 6000
+    a, b = (checked(sharding.shard(df), rows) for df in (frame(spark, rows), frame(spark, rows[::-1]).repartition(7)))
+    sums = a.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() <= 1.03 * sums.mean()
+    told = [sorted(x.fillna(-1)[["doc_id", "text_crc32", "shard", "slot"]].values.tolist()) for x in (a, b)]
+    assert told[0] == told[1]
+
+
 def test_reruns_agree(spark):
     rows = [(k % 400, f"t{k % 90}") for k in range(800)]
     a, b = (sorted(map(tuple, sharding.shard(df).select("doc_id", "text_crc32", "shard", "slot").collect())) for df in (frame(spark, rows), frame(spark, rows[::-1]).repartition(7)))
