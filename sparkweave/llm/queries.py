@@ -21,7 +21,7 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
-    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
