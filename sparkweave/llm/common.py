@@ -142,3 +142,19 @@ def indexed(df: DataFrame, name: str, *order: Column) -> DataFrame:
     offsets = rows.groupBy(pid).count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select(pid, "offset")
     # a row for each partition of the sort
     return rows.join(F.broadcast(offsets), pid).withColumn(name, F.col(at) + F.col("offset")).drop(pid, at, "offset")
+
+
+def twins(rows: DataFrame, keys: list[str], repeated: DataFrame, name: str, most: int) -> DataFrame:
+    """rows with a number from 0 without gaps among the rows of each repeated group, else 0.
+
+    repeated: (keys, n), the groups and how many rows each has. A group is numbered in parts of about `most` rows,
+    by salts that follow from where a row is read: the rows of a group are taken to be interchangeable.
+    """
+    salt, salts, before, nth = (f"{name}_{x}" for x in ("salt", "salts", "before", "nth"))
+    joined = rows.join(checked(repeated.select(*keys, F.ceil(F.col("n") / most).alias(salts))), keys, "left")
+    many = stage(joined.where(F.col(salts).isNotNull()).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.col(salts))), "salted")
+    group, earlier = [*keys, salt], Window.partitionBy(*keys).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = many.groupBy(*group).count().select(*group, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
+    numbered = many.withColumn(nth, F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(0)))).join(starts, group)
+    out = numbered.withColumn(name, F.col(before) + F.col(nth) - 1).select(*rows.columns, name)
+    return out.unionByName(joined.where(F.col(salts).isNull()).select(*rows.columns, F.lit(0).cast("long").alias(name)))

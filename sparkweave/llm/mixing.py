@@ -19,11 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import checked, indexed, n_words, stage, uniform
+from sparkweave.llm.common import checked, indexed, n_words, stage, twins, uniform
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 1
 #: Classes of ranks between 0 and 1.
 CLASSES = 1 << 16
+#: Equal rows that are numbered in one task.
+NUMBERED = 200_000
 
 
 def _targets(sources: DataFrame, share: float, epochs: float) -> DataFrame:
@@ -60,18 +62,27 @@ def _choice(rows: DataFrame, epochs: float) -> DataFrame:
     return rows.withColumn("rank", F.when(p > 1e-12, odds / (1 + odds)))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: Column | None, seed: int) -> list[Column]:
-    """Number of words, and a random number fixed by id, text and seed."""
-    return [n_words(F.col(text_col)) if size is None else F.coalesce(size.cast("long"), F.lit(0)), uniform(F.col(id_col), F.col(text_col), F.lit(seed))]
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: Column | None, seed: int) -> tuple[Column, Column]:
+    """Number of words, and a key fixed by id, text, source and seed."""
+    return n_words(F.col(text_col)) if size is None else F.coalesce(size.cast("long"), F.lit(0)), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col), F.lit(seed))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): the slim rows (doc_id, source, size, u), and what decides about them for each source.
+def _drawn(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows (own) with u: a number in (0, 1) fixed by the key, and among equal rows by a number."""
+    if repeated.isEmpty():
+        return rows.withColumn("u", uniform(F.col("own"), F.lit(0).cast("long"))).drop("own")
+    return twins(rows, ["own"], repeated, "twin", NUMBERED).withColumn("u", uniform(F.col("own"), F.col("twin"))).drop("own", "twin")
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sources, repeated): the slim rows (doc_id, source, size, u), what decides about them for each source, and (own, n) of rows that repeat.
 
     weights go to the sources in ascending order, the null source last, and repeat.
     """
-    own_size, u = _rows(docs, id_col, text_col, source_col, size, seed)
-    rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), own_size.alias("size"), u.alias("u")), "sizes")
+    own_size, own = _rows(docs, id_col, text_col, source_col, size, seed)
+    plain = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), own_size.alias("size"), own.alias("own")), "sizes")
+    repeated = stage(plain.groupBy("own").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    rows = _drawn(plain, repeated) if repeated.isEmpty() else stage(_drawn(plain, repeated), "drawn")
     sources = indexed(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "src", F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("src", F.lit(len(weights))) + 1).cast("int"))
     targets = stage(_targets(stage(sources.withColumn("weight", weight), "weights"), share, epochs).select(F.col("source").alias("of"), "src", "source_size", "target"), "targets")
@@ -105,7 +116,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     over = F.abs(F.col("tied") - F.col("gap"))
     tied = sampled.where(F.col("rank").isNotNull() & ~takes).groupBy("src", "rank").agg(F.sum("size").alias("tied"))
     closing = tied.join(checked(gaps), "src").where(over < F.col("gap")).groupBy("src").agg(F.min(F.struct(over.alias("over"), "rank")).alias("closing")).select("src", F.col("closing.rank").alias("closing"))
-    return rows, stage(bounded.join(closing, "src", "left"), "sources")
+    return rows, stage(bounded.join(closing, "src", "left"), "sources"), repeated
 
 
 def _copies(rows: DataFrame, sources: DataFrame, source_col: str, epochs: float) -> DataFrame:
@@ -118,18 +129,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row; options as for plan().
 
     A null text, or one without words, has size 0 and is not taken; null is a source like others, after
-    them. The numbers depend on id, text and seed only: repeated rows are taken alike, and reruns agree.
-    An empty table gives an empty one.
+    them. The numbers depend on id, text, source and seed, and of rows that are equal in these, on a number
+    among them: each is taken or not by itself, so that large groups of them meet their target too, and
+    reruns take as many of them. An empty table gives an empty one.
     """
-    rows, sources = plan(docs, **options)
+    rows, sources, _ = plan(docs, **options)
     out = _copies(rows, sources, "source", options.get("epochs", EPOCHS))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns as they are; the texts are not shuffled."""
-    _, sources = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    own_size, u = _rows(docs, id_col, text_col, source_col, options.get("size"), options.get("seed", SEED))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("of_row"), own_size.alias("size"), u.alias("u"))
-    chosen = _copies(packed, sources, "of_row", options.get("epochs", EPOCHS)).where("copies > 0")
+    _, sources, repeated = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    own_size, own = _rows(docs, id_col, text_col, source_col, options.get("size"), options.get("seed", SEED))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("of_row"), own_size.alias("size"), own.alias("own"))
+    chosen = _copies(_drawn(packed, repeated), sources, "of_row", options.get("epochs", EPOCHS)).where("copies > 0")
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth")).select("row.*")

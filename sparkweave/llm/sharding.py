@@ -3,8 +3,9 @@
 Rows are ordered by a hash of their text. A size-weighted sample of these keys (a row is drawn with
 probability proportional to its size) gives the quantiles that cut the keys into many ranges of nearly
 equal bytes; equal texts fall into one range. Overfull ranges, such as that of a text with very many
-copies, are subdivided by a hash of the document, and large groups of equal documents by a number within the group. The pieces, a bounded number of them whatever the
-input, are dealt to the shards, largest first, each to the shard with the fewest bytes.
+copies, are subdivided by a hash of the document, and large groups of equal documents by a number within the
+group. The pieces, a bounded number of them whatever the input, are dealt to the shards, largest first,
+each to the shard with the fewest bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import checked, stage, uniform
+from sparkweave.llm.common import checked, stage, twins, uniform
 
 #: Ranges for each shard, sampled keys for each range, and rows that are numbered in one task.
 RANGES, SAMPLES, NUMBERED, SEED = 64, 32, 200_000, 8
@@ -30,19 +31,6 @@ def _groups(rows: DataFrame, total: int, ranges: int) -> DataFrame:
     return stage(groups.withColumns({"w": drawn, "heavy": heavy}).where("w is not null or heavy"), "groups")
 
 
-def _numbered(rows: DataFrame, heavy: DataFrame) -> DataFrame:
-    """rows with a number, twin, among the rows of each heavy group, from 0 without gaps; NUMBERED rows are one task's. 0 for others."""
-    salts = heavy.select("key", "own", F.ceil(F.col("n") / NUMBERED).alias("salts"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.col("salts"))
-    salted = stage(rows.join(checked(salts), ["key", "own"], "left").withColumn("salt", salt), "salted")
-    many, group = salted.where("salt is not null"), ["key", "own", "salt"]
-    before = Window.partitionBy("key", "own").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = many.groupBy(*group).count().select(*group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy("size"))
-    twins = many.withColumn("nth", nth).join(starts, group).withColumn("twin", F.col("before") + F.col("nth") - 1)
-    return twins.select(*rows.columns, "twin").unionByName(salted.where("salt is null").select(*rows.columns, F.lit(0).cast("long").alias("twin")))
-
-
 def _splitters(groups: DataFrame, ranges: int) -> DataFrame:
     """(b): keys up to which a range goes; at most `ranges` of them, from a sample of about SAMPLES for each, of twice that at most."""
     sample = groups.where("w is not null").select("key", "w")
@@ -82,7 +70,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     full = max(total or 0, 1) / ranges
     groups = _groups(rows, max(total or 0, 1), ranges)
     heavy = groups.where("heavy")
-    told = rows.withColumn("twin", F.lit(0).cast("long")) if heavy.isEmpty() else _numbered(rows, heavy)
+    told = rows.withColumn("twin", F.lit(0).cast("long")) if heavy.isEmpty() else twins(rows, ["key", "own"], heavy, "twin", NUMBERED)
     ranged = stage(_ranged(told, _splitters(groups, ranges)), "ranged")
     parts = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).select("range", F.when(F.col("bytes") > 2 * full, F.ceil(F.col("bytes") / full)).otherwise(1).cast("int").alias("parts"))
     fine = max(1, -(-(count or 0) // (2 * ranges * NUMBERED)))

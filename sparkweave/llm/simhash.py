@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkweave.llm.common import checked, slices, stage
 from sparkweave.llm.components import components
@@ -76,24 +75,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. A null text has no words: fp 0."""
+    """(doc_id, fp, text_hash): fp is the fingerprint's 64 bits as a signed long. A null text has no words: fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
-
-
-def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int, name: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(text_col)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _pivots() -> np.ndarray:
@@ -194,6 +184,16 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("block", "key", "i", "j").sortWithinPartitions(*order).mapInArrow(_links(radius), "u long, v long")
 
 
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """Staged fingerprints with component_id and class."""
+    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = components(links(classes.select("fp"), radius))
+    named = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = named.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("of_fp"), "component_id", F.col("component").alias("class"))
+    return fps.join(of, F.col("fp") == F.col("of_fp")).drop("of_fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id, class) for every row of docs; component_id is the smallest doc_id that links of the radius reach.
 
@@ -202,27 +202,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's smallest fp as a signed long. Repeated rows stay repeated. An empty table gives an empty one. Other columns are not read.
     """
     fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes.select("fp"), radius))
-    named = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("of_fp"), "component_id", F.col("component").alias("class"))
-    return fps.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id", "class")
+    return _grouped(fps, radius).select("doc_id", "fp", "component_id", "class")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one document of each group: that with the smallest doc_id, all columns as they are.
+    """docs with one row of each group of near-duplicates, all columns as they are: the row with the smallest doc_id,
+    of several the one with the smallest hash of its text, then of all its columns (but maps).
 
-    Rows with one doc_id count as one document, of which one row stays. Of a group without any id one row stays.
+    A row without an id stays only if its group has no id at all. Rows that share an id but not their texts may be in
+    different groups, and then each counts in its own. Null and empty texts are a group like others. An empty table
+    gives an empty one.
     """
-    found = stage(near_duplicates(docs, id_col, text_col, radius, shingle), "groups")
-    ids = found.where("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs[id_col].cast("long") == ids["kept_id"], "left_semi")
-    if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    if not found.where("component_id is null").isEmpty():
-        classes = found.where("component_id is null").select("class").distinct()
-        own = "fp" + uuid.uuid4().hex
-        nameless = _with_fingerprint(docs.where(F.col(id_col).isNull()), text_col, shingle, own)
-        kept = kept.unionByName(nameless.join(classes, nameless[own] == classes["class"], "left_semi").dropDuplicates([own]).drop(own))
-    return kept
+    fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    found = stage(_grouped(fps, radius).groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
+    firsts = found.groupBy("class").agg(first).select(F.col("class").alias("of"), "first.doc_id", "first.text_hash").withColumnsRenamed({"doc_id": "first_id", "text_hash": "first_hash"})
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    key_id, key_hash = (f"{name}{uuid.uuid4().hex}" for name in ("id", "hash"))
+    told = stage(found.join(firsts, F.col("class") == F.col("of")).where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash), stays.alias("stays")), "told")
+    of_row = docs[id_col].cast("long").eqNullSafe(F.col(key_id)) & (F.xxhash64(docs[text_col]) == F.col(key_hash))
+    kept = docs.join(checked(told), of_row, "left_anti")
+    repeated = told.where("stays")
+    if repeated.isEmpty():
+        return kept
+    # of equal ids and texts one row: partial aggregates, however many there are
+    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    packed = docs.join(checked(repeated), of_row, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*plain).alias("h"), F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("t"))
+    return kept.unionByName(packed.groupBy("i", "t").agg(F.min_by("row", "h").alias("row")).select("row.*"))
+
+

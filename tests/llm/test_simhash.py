@@ -99,6 +99,18 @@ def test_small_tables(spark):
         assert simhash.keep_one(frame(spark, few)).count() == len({bits(t) for _, t in few})
 
 
+def test_keep_one_where_ids_repeat(spark):
+    a, b = "an entirely different text of a few words", "some other words that have nothing to do with it at all"
+    kept = lambda few: sorted(map(tuple, simhash.keep_one(frame(spark, few)).select("doc_id", "text").collect()), key=str)
+    assert kept([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert kept([(5, a), (5, b)] * 3) == [(5, a), (5, b)]
+    assert kept([(None, a), (None, a), (None, b), (7, b), (9, a.upper())]) == [(7, b), (9, a.upper())]
+    assert set(kept([(None, a), (None, a), (None, None), (None, "")])) in ({(None, a), (None, x)} for x in (None, ""))
+    # different other columns: one row, always the same one
+    two = [simhash.keep_one(frame(spark, [(5, a)] * 4).withColumn("n", F.monotonically_increasing_id()).repartition(k)).collect() for k in (1, 3)]
+    assert two[0] == two[1] and len(two[0]) == 1
+
+
 @pytest.mark.parametrize("chunk", [2, 8, 2048])
 def test_links_of_crowded_blocks(spark, monkeypatch, chunk):
     """Many fingerprints in the same blocks, dealt out in chunks of any size, stay as connected as they are."""
