@@ -34,7 +34,7 @@ R.sql("agg_bit_bool", "SELECT l_returnflag, bit_and(l_orderkey) AS a, bit_or(l_o
 R.sql("agg_median", "SELECT o_orderstatus, median(o_totalprice) AS middle FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(median(o_totalprice), 6) AS middle FROM orders GROUP BY o_orderstatus")
 R.sql("agg_percentile", "SELECT l_returnflag, round(percentile(l_quantity, 0.9), 6) AS p90, round(percentile(l_extendedprice, 0.25), 4) AS p25 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25 FROM lineitem GROUP BY l_returnflag")
 R.sql("agg_first_last", "SELECT o_custkey, min_by(o_orderkey, o_totalprice) AS cheapest, max_by(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY o_custkey")
-R.sql("agg_ordered", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders WHERE o_custkey < 200 GROUP BY o_custkey", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders WHERE o_custkey < 200 GROUP BY o_custkey")
+R.sql("agg_ordered", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders GROUP BY o_custkey")
 R.sql("agg_string_within_group", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 R.sql("agg_approx_distinct", "SELECT o_orderstatus, approx_distinct(o_custkey) AS customers FROM orders GROUP BY o_orderstatus", check=False)
 R.sql("agg_approx_percentile", "SELECT l_returnflag, approx_percentile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag", check=False)
@@ -44,9 +44,9 @@ R.sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber
 R.sql("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 
 
-@R.plan("agg_array_sorted", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice, o_orderkey) AS keys FROM orders WHERE o_custkey < 100 GROUP BY o_custkey")
+@R.plan("agg_array_sorted", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice, o_orderkey) AS keys FROM orders GROUP BY o_custkey")
 def _array(t: Tables) -> DataFrame:
-    return t.orders.where("o_custkey < 100").groupBy("o_custkey").agg(aggregates.array_agg("o_orderkey", "o_totalprice", "o_orderkey").alias("keys"))
+    return t.orders.groupBy("o_custkey").agg(aggregates.array_agg("o_orderkey", "o_totalprice", "o_orderkey").alias("keys"))
 
 
 @R.plan("agg_string_sorted", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
@@ -67,29 +67,28 @@ def _distinct_on(t: Tables) -> DataFrame:
 # windows
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"
 _PEERS = "OVER (PARTITION BY l_returnflag ORDER BY l_linenumber)"
-_FEW = "FROM orders WHERE o_custkey < 200"
 for _name, _call in (("row_number", "row_number()"), ("percent_rank", "round(percent_rank() {o}, 9)"), ("cume_dist", "round(cume_dist() {o}, 9)"), ("ntile", "ntile(3)")):
     _text = _call.format(o=_OVER) if "{o}" in _call else f"{_call} {_OVER}"
-    R.sql(f"win_{_name}", f"SELECT o_orderkey, {_text} AS r {_FEW}", f"SELECT o_orderkey, {_text}{'' if '{o}' in _call else '::INT'} AS r {_FEW}")
+    R.sql(f"win_{_name}", f"SELECT o_orderkey, {_text} AS r FROM orders", f"SELECT o_orderkey, {_text}{'' if '{o}' in _call else '::INT'} AS r FROM orders")
 for _name in ("rank", "dense_rank"):
-    _rows = "FROM (SELECT DISTINCT l_returnflag, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey < 300) AS d"
+    _rows = "FROM (SELECT DISTINCT l_returnflag, l_linenumber, l_quantity FROM lineitem) AS d"
     R.sql(f"win_{_name}", f"SELECT l_returnflag, l_linenumber, l_quantity, {_name}() {_PEERS} AS r {_rows}", f"SELECT l_returnflag, l_linenumber, l_quantity, ({_name}() {_PEERS})::INT AS r {_rows}")
-R.sql("win_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS prev, lead(o_orderkey, 2) {_OVER} AS next2, lag(o_totalprice, 1, 0.0) {_OVER} AS prev_price {_FEW}", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS prev, lead(o_orderkey, 2) {_OVER} AS next2, lag(o_totalprice, 1, 0.0::DOUBLE) {_OVER} AS prev_price {_FEW}")
+R.sql("win_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS prev, lead(o_orderkey, 2) {_OVER} AS next2, lag(o_totalprice, 1, 0.0) {_OVER} AS prev_price FROM orders", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS prev, lead(o_orderkey, 2) {_OVER} AS next2, lag(o_totalprice, 1, 0.0::DOUBLE) {_OVER} AS prev_price FROM orders")
 _WHOLE = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-R.sql("win_first_last", f"SELECT o_orderkey, first_value(o_orderkey) {_WHOLE} AS f, last_value(o_orderkey) {_WHOLE} AS l {_FEW}")
-R.sql("win_nth_value", f"SELECT o_orderkey, nth_value(o_orderkey, 2) {_WHOLE} AS second {_FEW}")
-R.sql("win_agg_running", f"SELECT o_orderkey, round(sum(o_totalprice) {_OVER}, 2) AS running, count(*) {_OVER} AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most {_FEW}")
-R.sql("win_rows_frame", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS near {_FEW}")
-R.sql("win_range_frame", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near {_FEW}")
-R.sql("win_range_interval", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND CURRENT ROW) AS month {_FEW}")
-R.sql("win_ignore_nulls", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events WHERE user_id < 30", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events WHERE user_id < 30")
+R.sql("win_first_last", f"SELECT o_orderkey, first_value(o_orderkey) {_WHOLE} AS f, last_value(o_orderkey) {_WHOLE} AS l FROM orders")
+R.sql("win_nth_value", f"SELECT o_orderkey, nth_value(o_orderkey, 2) {_WHOLE} AS second FROM orders")
+R.sql("win_agg_running", f"SELECT o_orderkey, round(sum(o_totalprice) {_OVER}, 2) AS running, count(*) {_OVER} AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most FROM orders")
+R.sql("win_rows_frame", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS near FROM orders")
+R.sql("win_range_frame", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 50000 PRECEDING AND 50000 FOLLOWING) AS near FROM orders")
+R.sql("win_range_interval", f"SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '300' DAY PRECEDING AND CURRENT ROW) AS month FROM orders")
+R.sql("win_ignore_nulls", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events")
 R.sql("win_qualify", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
-_GROUPS = "SELECT o_orderkey, sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS s FROM orders WHERE o_orderkey < 500"
+_GROUPS = "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS s FROM orders"
 
 
 @R.plan("win_groups_frame", _GROUPS)
 def _groups(t: Tables) -> DataFrame:
-    return windows.groups_frame(t.orders.where("o_orderkey < 500"), "s", F.sum("o_custkey"), ["o_orderpriority"], 1, 0, ["o_orderstatus"]).select("o_orderkey", "s")
+    return windows.groups_frame(t.orders, "s", F.sum("o_orderkey"), ["o_orderpriority"], 1, 0, ["o_custkey"]).select("o_orderkey", "s")
 
 
 @R.plan("win_top_per_group", "SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3")
@@ -99,9 +98,9 @@ def _top_per_group(t: Tables) -> DataFrame:
 
 # sorts and limits
 _HOLES = "(SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS nation FROM customer)"
-R.sql("sort_multi_dir", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal ASC, c_custkey LIMIT 50")
-R.sql("sort_nulls_first_last", f"SELECT c_custkey, nation FROM {_HOLES} AS h ORDER BY nation DESC NULLS LAST, c_custkey LIMIT 30")
-R.sql("sort_nulls_largest", f"SELECT c_custkey, nation FROM {_HOLES} AS h ORDER BY nation DESC, c_custkey LIMIT 30", f"SELECT c_custkey, nation FROM {_HOLES} AS h ORDER BY nation DESC NULLS FIRST, c_custkey LIMIT 30")
+R.sql("sort_multi_dir", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey DESC, c_acctbal ASC, c_custkey")
+R.sql("sort_nulls_first_last", f"SELECT c_custkey, nation FROM {_HOLES} AS h ORDER BY nation DESC NULLS LAST, c_custkey")
+R.sql("sort_nulls_largest", f"SELECT c_custkey, nation FROM {_HOLES} AS h ORDER BY nation DESC, c_custkey", f"SELECT c_custkey, nation FROM {_HOLES} AS h ORDER BY nation DESC NULLS FIRST, c_custkey")
 R.sql("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 R.sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 
@@ -118,7 +117,7 @@ R.plan("repartition_round_robin", _COUNTED)(lambda t: sorts.repartition(t.orders
 R.plan("coalesce_single", _COUNTED)(lambda t: sorts.gather(t.orders).groupBy("o_orderstatus").agg(F.count("*").alias("n")))
 
 # set operations
-_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 60", "SELECT s_nationkey AS k FROM supplier"
+_A, _B = "SELECT o_custkey AS k FROM orders", "SELECT s_suppkey AS k FROM supplier"
 for _name, _operation in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
     R.sql(_name, f"{_A} {_operation} {_B}")
 
@@ -130,5 +129,5 @@ def _by_name(t: Tables) -> DataFrame:
 
 @R.plan("set_operations_frame", f"({_A} EXCEPT ALL {_B}) UNION ALL ({_A} INTERSECT {_B})")
 def _set_frames(t: Tables) -> DataFrame:
-    a, b = t.customer.where("c_custkey < 60").select(c("c_nationkey").alias("k")), t.supplier.select(c("s_nationkey").alias("k"))
+    a, b = t.orders.select(c("o_custkey").alias("k")), t.supplier.select(c("s_suppkey").alias("k"))
     return sets.combine(sets.combine(a, b, "except", True), sets.combine(a, b, "intersect"), "union", True)

@@ -58,25 +58,25 @@ def _several(t: Tables) -> DataFrame:
 
 # scalar functions
 _X = "(c_acctbal / 1000.0)"
-R.sql("fn_math", f"SELECT c_custkey, abs(c_acctbal) AS a, CAST(ceil({_X}) AS BIGINT) AS up, CAST(floor({_X}) AS BIGINT) AS down, round({_X}, 2) AS r2, trunc({_X}, 1) AS t1, CAST(signum({_X}) AS INT) AS s, round(power({_X}, 2), 8) AS p2, round(sqrt(abs({_X})), 10) AS root, round(cbrt({_X}), 9) AS cube_root, round(exp({_X} / 10), 9) AS e, round(ln(abs({_X}) + 1), 9) AS l, round(log10(abs({_X}) + 1), 9) AS l10, round(log2(abs({_X}) + 1), 9) AS l2, factorial(CAST(c_custkey % 10 AS INT)) AS f, gcd(c_custkey, 36) AS g, lcm(c_custkey, 4) AS l4, greatest(c_nationkey, 10) AS most, least(c_nationkey, 10) AS lowest, iszero(c_nationkey) AS z, nanvl({_X}, 0.0) AS nv FROM customer WHERE c_custkey > 0 AND c_custkey < 400",
-      f"SELECT c_custkey, abs(c_acctbal) AS a, ceil({_X})::BIGINT AS up, floor({_X})::BIGINT AS down, round({_X}, 2) AS r2, trunc({_X} * 10) / 10 AS t1, sign({_X})::INT AS s, round(pow({_X}, 2), 8) AS p2, round(sqrt(abs({_X})), 10) AS root, round(cbrt({_X}), 9) AS cube_root, round(exp({_X} / 10), 9) AS e, round(ln(abs({_X}) + 1), 9) AS l, round(log10(abs({_X}) + 1), 9) AS l10, round(log2(abs({_X}) + 1), 9) AS l2, factorial((c_custkey % 10)::INT)::BIGINT AS f, gcd(c_custkey, 36)::BIGINT AS g, lcm(c_custkey, 4)::BIGINT AS l4, greatest(c_nationkey, 10) AS most, least(c_nationkey, 10) AS lowest, c_nationkey = 0 AS z, {_X} AS nv FROM customer WHERE c_custkey > 0 AND c_custkey < 400".replace("(c_acctbal / 1000.0)", "(c_acctbal / 1000.0::DOUBLE)"))
+R.sql("fn_math", f"SELECT c_custkey, abs(c_acctbal) AS a, CAST(ceil({_X}) AS BIGINT) AS up, CAST(floor({_X}) AS BIGINT) AS down, round({_X}, 2) AS r2, trunc({_X}, 1) AS t1, CAST(signum({_X}) AS INT) AS s, round(power({_X}, 2), 8) AS p2, round(sqrt(abs({_X})), 10) AS root, round(cbrt({_X}), 9) AS cube_root, round(exp({_X} / 10), 9) AS e, round(ln(abs({_X}) + 1), 9) AS l, round(log10(abs({_X}) + 1), 9) AS l10, round(log2(abs({_X}) + 1), 9) AS l2, factorial(CAST(c_custkey % 10 AS INT)) AS f, gcd(c_custkey, 36) AS g, lcm(c_custkey, 4) AS l4, greatest(c_nationkey, 10) AS most, least(c_nationkey, 10) AS lowest, iszero(c_nationkey) AS z, nanvl({_X}, 0.0) AS nv FROM customer",
+      f"SELECT c_custkey, abs(c_acctbal) AS a, ceil({_X})::BIGINT AS up, floor({_X})::BIGINT AS down, round({_X}, 2) AS r2, trunc({_X} * 10) / 10 AS t1, sign({_X})::INT AS s, round(pow({_X}, 2), 8) AS p2, round(sqrt(abs({_X})), 10) AS root, round(cbrt({_X}), 9) AS cube_root, round(exp({_X} / 10), 9) AS e, round(ln(abs({_X}) + 1), 9) AS l, round(log10(abs({_X}) + 1), 9) AS l10, round(log2(abs({_X}) + 1), 9) AS l2, factorial((c_custkey % 10)::INT)::BIGINT AS f, gcd(c_custkey, 36)::BIGINT AS g, lcm(c_custkey, 4)::BIGINT AS l4, greatest(c_nationkey, 10) AS most, least(c_nationkey, 10) AS lowest, c_nationkey = 0 AS z, {_X} AS nv FROM customer".replace("(c_acctbal / 1000.0)", "(c_acctbal / 1000.0::DOUBLE)"))
 _A = "(CAST(n_nationkey AS DOUBLE) / 30)"
 _TRIG = ", ".join(f"round({f}({_A}), 9) AS {f}_x" for f in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "atanh", "degrees", "radians"))
 _TRIG_SQL = f"SELECT n_nationkey, {_TRIG}, round(cot({_A} + 1), 9) AS cot_x, round(acosh({_A} + 1), 9) AS acosh_x, round(atan2({_A}, 0.5), 9) AS atan2_x, round(pi(), 9) AS pi_x FROM nation"
 R.sql("fn_trig", _TRIG_SQL)
-R.sql("fn_string", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, initcap(p_name) AS i, CAST(length(p_name) AS BIGINT) AS n, CAST(char_length(p_name) AS BIGINT) AS cn, CAST(octet_length(p_name) AS BIGINT) AS o, CAST(bit_length(p_name) AS BIGINT) AS bits, reverse(p_name) AS back, repeat(p_type, 2) AS twice, left(p_name, 3) AS l3, right(p_name, 3) AS r3, substring(p_name FROM 2 FOR 4) AS s, replace(p_name, 'ring', 'RING') AS rep, translate(p_name, 'abc', 'xyz') AS tr, concat(p_brand, NULL, '/', p_type) AS joined, concat_ws('-', p_brand, p_type) AS ws, ascii(p_name) AS code, chr(65 + p_size % 26) AS letter, overlay(p_name PLACING '##' FROM 2 FOR 3) AS over FROM part WHERE p_partkey < 300",
-      "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS i, length(p_name) AS n, length(p_name) AS cn, strlen(p_name) AS o, bit_length(p_name) AS bits, reverse(p_name) AS back, repeat(p_type, 2) AS twice, left(p_name, 3) AS l3, right(p_name, 3) AS r3, substring(p_name, 2, 4) AS s, replace(p_name, 'ring', 'RING') AS rep, translate(p_name, 'abc', 'xyz') AS tr, concat(p_brand, NULL, '/', p_type) AS joined, concat_ws('-', p_brand, p_type) AS ws, ascii(p_name) AS code, chr(65 + p_size % 26) AS letter, p_name[:1] || '##' || p_name[5:] AS over FROM part WHERE p_partkey < 300")
-R.sql("fn_string_search", "SELECT p_partkey, strpos(p_name, 'ring') AS p, starts_with(p_name, 'small') AS s, ends_with(p_name, 'bolt') AS e, contains(p_name, 'in') AS has, split_part(p_name, ' ', 2) AS second, substr_index(p_name, ' ', 1) AS first, levenshtein(p_name, 'small ring') AS d, find_in_set(p_type, 'PROMO,SMALL,LARGE') AS f FROM part WHERE p_partkey < 300",
-      "SELECT p_partkey, strpos(p_name, 'ring')::INT AS p, starts_with(p_name, 'small') AS s, ends_with(p_name, 'bolt') AS e, contains(p_name, 'in') AS has, split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', 1) AS first, levenshtein(p_name, 'small ring')::INT AS d, coalesce(list_position(['PROMO', 'SMALL', 'LARGE'], p_type), 0)::INT AS f FROM part WHERE p_partkey < 300")
+R.sql("fn_string", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, initcap(p_name) AS i, CAST(length(p_name) AS BIGINT) AS n, CAST(char_length(p_name) AS BIGINT) AS cn, CAST(octet_length(p_name) AS BIGINT) AS o, CAST(bit_length(p_name) AS BIGINT) AS bits, reverse(p_name) AS back, repeat(p_type, 2) AS twice, left(p_name, 3) AS l3, right(p_name, 3) AS r3, substring(p_name FROM 2 FOR 4) AS s, replace(p_name, 'ring', 'RING') AS rep, translate(p_name, 'abc', 'xyz') AS tr, concat(p_brand, NULL, '/', p_type) AS joined, concat_ws('-', p_brand, p_type) AS ws, ascii(p_name) AS code, chr(65 + p_size % 26) AS letter, overlay(p_name PLACING '##' FROM 2 FOR 3) AS over FROM part",
+      "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS i, length(p_name) AS n, length(p_name) AS cn, strlen(p_name) AS o, bit_length(p_name) AS bits, reverse(p_name) AS back, repeat(p_type, 2) AS twice, left(p_name, 3) AS l3, right(p_name, 3) AS r3, substring(p_name, 2, 4) AS s, replace(p_name, 'ring', 'RING') AS rep, translate(p_name, 'abc', 'xyz') AS tr, concat(p_brand, NULL, '/', p_type) AS joined, concat_ws('-', p_brand, p_type) AS ws, ascii(p_name) AS code, chr(65 + p_size % 26) AS letter, p_name[:1] || '##' || p_name[5:] AS over FROM part")
+R.sql("fn_string_search", "SELECT p_partkey, strpos(p_name, 'ring') AS p, starts_with(p_name, 'small') AS s, ends_with(p_name, 'bolt') AS e, contains(p_name, 'in') AS has, split_part(p_name, ' ', 2) AS second, substr_index(p_name, ' ', 1) AS first, levenshtein(p_name, 'small ring') AS d, find_in_set(p_type, 'PROMO,SMALL,LARGE') AS f FROM part",
+      "SELECT p_partkey, strpos(p_name, 'ring')::INT AS p, starts_with(p_name, 'small') AS s, ends_with(p_name, 'bolt') AS e, contains(p_name, 'in') AS has, split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', 1) AS first, levenshtein(p_name, 'small ring')::INT AS d, coalesce(list_position(['PROMO', 'SMALL', 'LARGE'], p_type), 0)::INT AS f FROM part")
 R.sql("fn_pad_trim", "SELECT n_nationkey, lpad(n_name, 12, '*') AS l, rpad(n_name, 12, '.') AS r, trim('  ' || n_name || ' ') AS t, ltrim('  ' || n_name) AS lt, rtrim(n_name || '  ') AS rt, btrim('  ' || n_name || '  ') AS bt FROM nation", "SELECT n_nationkey, lpad(n_name, 12, '*') AS l, rpad(n_name, 12, '.') AS r, n_name AS t, n_name AS lt, n_name AS rt, n_name AS bt FROM nation")
-R.sql("fn_regex", "SELECT p_partkey, regexp_like(p_name, '^s.*g$') AS m, regexp_replace(p_name, '[aeiou]', '_') AS r, regexp_count(p_name, '[aeiou]') AS n, regexp_match(p_name, '[a-z]+') AS words FROM part WHERE p_partkey < 300", "SELECT p_partkey, regexp_matches(p_name, '^s.*g$') AS m, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, len(regexp_extract_all(p_name, '[aeiou]'))::INT AS n, regexp_extract_all(p_name, '[a-z]+') AS words FROM part WHERE p_partkey < 300")
+R.sql("fn_regex", "SELECT p_partkey, regexp_like(p_name, '^s.*g$') AS m, regexp_replace(p_name, '[aeiou]', '_') AS r, regexp_count(p_name, '[aeiou]') AS n, regexp_match(p_name, '[a-z]+') AS words FROM part", "SELECT p_partkey, regexp_matches(p_name, '^s.*g$') AS m, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, len(regexp_extract_all(p_name, '[aeiou]'))::INT AS n, regexp_extract_all(p_name, '[a-z]+') AS words FROM part")
 R.sql("fn_hash", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, digest(n_name, 'sha256') AS d FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, sha256(n_name) AS d FROM nation")
 R.sql("fn_encode", "SELECT n_nationkey, encode(n_name, 'hex') AS h, base64(CAST(n_name AS BINARY)) AS b, CAST(decode(encode(n_name, 'hex'), 'hex') AS STRING) AS back, to_hex(n_nationkey) AS x FROM nation", "SELECT n_nationkey, lower(hex(n_name)) AS h, base64(encode(n_name)) AS b, n_name AS back, to_hex(n_nationkey) AS x FROM nation".replace("to_hex(n_nationkey)", "lower(to_hex(n_nationkey))"))
 _PARTS = ("year", "quarter", "month", "week", "day", "doy", "hour", "minute")
-R.sql("fn_date_parts", "SELECT o_orderkey, " + ", ".join(f"CAST(extract({p} FROM o_orderdate) AS BIGINT) AS {p}_x" for p in _PARTS) + ", CAST(date_part('month', o_orderdate) AS BIGINT) AS m, CAST(extract(dow FROM o_orderdate) - 1 AS BIGINT) AS dow FROM orders WHERE o_orderkey < 300", "SELECT o_orderkey, " + ", ".join(f"extract({p} FROM o_orderdate) AS {p}_x" for p in _PARTS) + ", date_part('month', o_orderdate) AS m, extract(dow FROM o_orderdate) AS dow FROM orders WHERE o_orderkey < 300")
-R.sql("fn_date_trunc_bin", "SELECT event_id, CAST(date_trunc('month', ts) AS TIMESTAMP_NTZ) AS m, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, date_bin(INTERVAL '15' MINUTE, ts) AS b, date_bin(INTERVAL '7' DAY, ts, TIMESTAMP_NTZ '2024-01-03 00:00:00') AS w FROM events WHERE event_id < 500", "SELECT event_id, date_trunc('month', ts)::TIMESTAMP AS m, date_trunc('hour', ts) AS h, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS b, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '2024-01-03') AS w FROM events WHERE event_id < 500")
-R.sql("fn_date_format", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy/MM/dd') AS f, make_date(2020, CAST(extract(month FROM o_orderdate) AS INT), 15) AS made, to_date('2024-03-05') AS d, CAST(to_timestamp('2024-03-05 06:07:08') AS TIMESTAMP_NTZ) AS t FROM orders WHERE o_orderkey < 200", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS f, make_date(2020, month(o_orderdate), 15) AS made, DATE '2024-03-05' AS d, TIMESTAMP '2024-03-05 06:07:08' AS t FROM orders WHERE o_orderkey < 200")
-R.sql("fn_epoch", "SELECT event_id, to_unixtime(CAST(ts AS TIMESTAMP)) AS s, CAST(to_timestamp_seconds(1700000000 + event_id) AS TIMESTAMP_NTZ) AS a, CAST(to_timestamp_millis(1700000000000 + event_id) AS TIMESTAMP_NTZ) AS b, CAST(to_timestamp_micros(1700000000000000 + event_id) AS TIMESTAMP_NTZ) AS u, from_unixtime(1700000000 + event_id) AS told FROM events WHERE event_id < 300", "SELECT event_id, floor(epoch(ts))::BIGINT AS s, make_timestamp((1700000000 + event_id) * 1000000) AS a, make_timestamp((1700000000000 + event_id) * 1000) AS b, make_timestamp(1700000000000000 + event_id) AS u, strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS told FROM events WHERE event_id < 300")
+R.sql("fn_date_parts", "SELECT o_orderkey, " + ", ".join(f"CAST(extract({p} FROM o_orderdate) AS BIGINT) AS {p}_x" for p in _PARTS) + ", CAST(date_part('month', o_orderdate) AS BIGINT) AS m, CAST(extract(dow FROM o_orderdate) - 1 AS BIGINT) AS dow FROM orders", "SELECT o_orderkey, " + ", ".join(f"extract({p} FROM o_orderdate) AS {p}_x" for p in _PARTS) + ", date_part('month', o_orderdate) AS m, extract(dow FROM o_orderdate) AS dow FROM orders")
+R.sql("fn_date_trunc_bin", "SELECT event_id, CAST(date_trunc('month', ts) AS TIMESTAMP_NTZ) AS m, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, date_bin(INTERVAL '15' MINUTE, ts) AS b, date_bin(INTERVAL '7' DAY, ts, TIMESTAMP_NTZ '2024-01-03 00:00:00') AS w FROM events", "SELECT event_id, date_trunc('month', ts)::TIMESTAMP AS m, date_trunc('hour', ts) AS h, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS b, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '2024-01-03') AS w FROM events")
+R.sql("fn_date_format", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy/MM/dd') AS f, make_date(2020, CAST(extract(month FROM o_orderdate) AS INT), 15) AS made, to_date('2024-03-05') AS d, CAST(to_timestamp('2024-03-05 06:07:08') AS TIMESTAMP_NTZ) AS t FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS f, make_date(2020, month(o_orderdate), 15) AS made, DATE '2024-03-05' AS d, TIMESTAMP '2024-03-05 06:07:08' AS t FROM orders")
+R.sql("fn_epoch", "SELECT event_id, to_unixtime(CAST(ts AS TIMESTAMP)) AS s, CAST(to_timestamp_seconds(1700000000 + event_id) AS TIMESTAMP_NTZ) AS a, CAST(to_timestamp_millis(1700000000000 + event_id) AS TIMESTAMP_NTZ) AS b, CAST(to_timestamp_micros(1700000000000000 + event_id) AS TIMESTAMP_NTZ) AS u, from_unixtime(1700000000 + event_id) AS told FROM events", "SELECT event_id, floor(epoch(ts))::BIGINT AS s, make_timestamp((1700000000 + event_id) * 1000000) AS a, make_timestamp((1700000000000 + event_id) * 1000) AS b, make_timestamp(1700000000000000 + event_id) AS u, strftime(make_timestamp((1700000000 + event_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS told FROM events")
 R.sql("fn_conditional", "SELECT c_custkey, coalesce(NULL, c_name) AS a, nullif(c_nationkey, 3) AS b, nvl(nullif(c_nationkey, 3), -1) AS d, nvl2(nullif(c_nationkey, 3), 1, 0) AS e, ifnull(nullif(c_nationkey, 4), 99) AS f FROM customer", "SELECT c_custkey, c_name AS a, nullif(c_nationkey, 3) AS b, coalesce(nullif(c_nationkey, 3), -1) AS d, CASE WHEN nullif(c_nationkey, 3) IS NOT NULL THEN 1 ELSE 0 END AS e, coalesce(nullif(c_nationkey, 4), 99) AS f FROM customer")
 R.sql("fn_arrow_types", "SELECT arrow_cast(n_nationkey, 'Int64') AS l, arrow_cast(n_nationkey, 'Utf8') AS s, arrow_cast(n_nationkey, 'Float64') AS d, arrow_typeof(n_name) AS kind FROM nation", "SELECT n_nationkey::BIGINT AS l, n_nationkey::VARCHAR AS s, n_nationkey::DOUBLE AS d, 'string' AS kind FROM nation")
 
