@@ -1,6 +1,7 @@
 """Ordinal regression: held-out accuracy, ordered thresholds, and odd rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -61,6 +62,64 @@ def test_rows_without_words(spark, model):
     assert toxicity.grade(frame(spark, []), model).collect() == [] and toxicity.drop(frame(spark, []), model).collect() == []
 
 
+def test_gradient_and_likelihood():
+    """Against the likelihood written out document by document, and finite differences of it."""
+    r = np.random.default_rng(0)
+    dense = r.normal(size=(12, 5)) * (r.random((12, 5)) < 0.6)
+    x, grade, weight = (*np.nonzero(dense), dense[np.nonzero(dense)]), r.integers(0, 4, 12), r.random(12)
+
+    def plain(theta):
+        cuts = [theta[5], theta[5] + np.exp(theta[6]), theta[5] + np.exp(theta[6]) + np.exp(theta[7])]
+        total = 0.03 * (theta[:5] ** 2).sum() / 2
+        for row, g, w in zip(dense, grade, weight):
+            above = [1.0, *[1 / (1 + np.exp(c - row @ theta[:5])) for c in cuts], 0.0]
+            total -= w * np.log(above[g] - above[g + 1])
+        return total
+
+    theta = r.normal(size=8)
+    value, gradient = toxicity.objective(theta, x, grade, weight, 4, 0.03)
+    assert value == pytest.approx(plain(theta))
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        assert gradient[k] == pytest.approx((plain(theta + step) - plain(theta - step)) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_grades_of_training_documents_are_thirds_of_their_peers():
+    score, length = np.random.default_rng(1).normal(size=100), np.arange(100) * 7 % 100
+    got, by_length = toxicity._thirds(score * (1 + length), length), np.argsort(np.arange(100) * 7 % 100)
+    for peers in np.array_split(by_length, 3):
+        order = peers[np.argsort((score * (1 + length))[peers])]
+        assert (np.diff(got[order]) >= 0).all() and np.bincount(got[peers], minlength=4)[1:].min() >= 11
+
+
+def test_query_against_a_plain_version(spark, model):
+    rows = [(i, t) for i, t, _ in made(200, 4)] + [(None, None), (7, ""), (8, "Vile VILE\tvile2 cruel_cruel é")]
+    got = sorted(((r["doc_id"], round(r["severity"], 9), r["grade"], round(r["p_toxic"], 9), r["rejected"]) for r in toxicity.grade(frame(spark, rows), model).collect()), key=str)
+    want = []
+    for i, text in rows:
+        words = [w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w]
+        score = sum(model.weights.get(w, 0.0) for w in words) * 50 / (len(words) + 80)
+        above = [1 / (1 + np.exp(c - score)) for c in model.cuts]
+        want.append((i, round(sum(above), 9), (above[0] >= 0.25) * (1 + sum(p >= 0.5 for p in above[1:])), round(above[0], 9), above[0] >= 0.25))
+    assert [g[0] for g in got] == [w[0] for w in sorted(want, key=str)]
+    for g, w in zip(got, sorted(want, key=str)):
+        assert g[1] == pytest.approx(w[1], abs=1e-7) and g[2] == w[2] and g[4] == w[4]
+
+
+def test_grades_do_not_follow_length(spark):
+    """Rude words in proportion to length, with a density that differs: each grade is given, to texts of like length."""
+    r, rude, rows = random.Random(6), ["vile", "awful", "nasty", "hateful"], []
+    for k in range(1500):
+        n, density = r.randint(100, 1500), r.uniform(0.01, 0.05) if k % 3 == 0 else 0
+        rows.append((k, " ".join(r.choice(rude) if r.random() < density else f"w{int(r.paretovariate(0.7)) % 500}" for _ in range(n)), int(k % 3 == 0)))
+    df = frame(spark, [(i, t) for i, t, _ in rows])
+    found = toxicity.grade(df, toxicity.train(df, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))).toPandas()
+    found["n"] = [len(t) for _, t, _ in rows]
+    toxic = found[found["doc_id"] % 3 == 0]
+    means = toxic[toxic["grade"] > 0].groupby("grade")["n"].mean()
+    assert list(means.index) == [1, 2, 3] and means.max() <= 1.2 * means.min() and (toxic["grade"] > 0).mean() > 0.97
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0)], [(1, 1)], [(None, 1)], [(5, None)]])
 def test_without_labels_of_both_classes(spark, labels):
     df = frame(spark, [(1, "a b"), (2, None)])
