@@ -4,13 +4,13 @@
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
-def _shingles(table: str, key: str, row: str) -> str:
-    """Distinct five-word shingles of each row of a table; of fewer words, the whole sequence."""
+def _shingles(table: str, key: str, row: str, lengths: str) -> str:
+    """Distinct shingles of each row of a table: runs of n words, for each n that lengths selects."""
     return f"""
-        SELECT DISTINCT {row}, {key}, array_to_string(list_slice(w, k, k + 4), ' ') AS shingle, least(len(w), 5) AS n
-        FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS k
-              FROM (SELECT row_number() OVER () AS {row}, {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL)
-              WHERE len(w) > 0)"""
+        SELECT DISTINCT {row}, {key}, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS shingle
+        FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k
+              FROM (SELECT row_number() OVER () AS {row}, {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL), {lengths}
+              WHERE len(w) >= n AND n > 0)"""
 
 
 def _host(url: str) -> str:
@@ -33,8 +33,8 @@ _LINK = r"""concat(regexp_extract(tag, '\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1,
 
 ORACLE_SQL: dict[str, str] = {
     "op10_decontaminate": f"""
-        WITH d AS ({_shingles("documents", "doc_id", "d_row")}),
-             i AS ({_shingles("benchmark", "item_id", "i_row")}),
+        WITH i AS ({_shingles("benchmark", "item_id", "i_row", "LATERAL (SELECT least(len(w), 5) AS n)")}),
+             d AS ({_shingles("documents", "doc_id", "d_row", "(SELECT DISTINCT n FROM i)")}),
              sizes AS (SELECT i_row, count(*) AS item_shingles FROM i GROUP BY i_row),
              hits AS (SELECT d_row, doc_id, i_row, item_id, count(*) AS shared
                       FROM i JOIN d USING (shingle, n) GROUP BY ALL)

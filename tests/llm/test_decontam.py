@@ -14,16 +14,23 @@ def frames(spark, docs, items):
     return spark.createDataFrame([(i, t, "x", 1, 0.5) for i, t in docs], DOC), spark.createDataFrame([(i, t, 4) for i, t in items], ITEM)
 
 
-def shingles(text, n=5):
-    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({k: k + 32 for k in range(65, 91)}))
-    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({k: k + 32 for k in range(65, 91)}))
+
+
+def shingles(text, n):
+    of = words(text)
+    return {tuple(of[k : k + n]) for k in range(len(of) - n + 1)}
 
 
 def brute(docs, items):
     out = []
+    sets = [(j, min(5, len(words(q)))) for j, q in items]
+    held = [shingles(q, n) if n else set() for (_, q), (_, n) in zip(items, sets)]
     for i, t in docs:
-        for j, q in items:
-            a, b = shingles(t), shingles(q)
+        of = {n: shingles(t, n) for n in range(1, 6)}
+        for (j, n), b in zip(sets, held):
+            a = of.get(n, set())
             if b and len(a & b) / len(b) >= 0.8 - 1e-9:
                 out.append((i, j, len(a & b), len(b)))
     return sorted(out, key=str)
@@ -71,6 +78,21 @@ def test_drop(spark, case):
     assert sorted((r["text"] for r in clean.collect()), key=str) == sorted(texts, key=str)
 
 
+def test_short_items_in_longer_texts(spark):
+    items = [(1, "what is the capital"), (2, "yes"), (3, "Of France"), (4, "no such words"), (5, "capital of france is paris")]
+    docs = [(1, "Tell me: What is\nthe CAPITAL of France ?"), (2, "yes"), (3, "yesterday france of"), (4, "what is the"), (5, "the capital of France is Paris")]
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find(*frames(spark, docs, items)).collect()) == [(1, 1), (1, 3), (2, 2), (5, 3), (5, 5)]
+    assert [r["doc_id"] for r in decontam.drop(*frames(spark, docs, items)).orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_size_of_a_matcher():
+    r = random.Random(1)
+    items = [(k, " ".join(f"word{r.randint(0, 50_000)}" for _ in range(40))) for k in range(2500)]
+    match = decontam.Matcher(items, 5, 0.8)
+    held = sum(x.nbytes for x in [match.vocabulary, match.first, match.second, *(y for s in match.sketch.values() for y in s)])
+    assert held <= 8 * sum(len(t) for _, t in items)
+
+
 def test_no_rows(spark, case):
     docs, items = case
     for d, i in (([], items), (docs, []), ([], []), (docs, [(1, None)]), ([(1, None)], items)):
