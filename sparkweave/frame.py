@@ -64,7 +64,14 @@ class Stage:
         """The partitions that run as one task each."""
         return [[p] for p in range(self.num_output_partitions)]
 
-    full_partitions = True
+    @property
+    def full_partitions(self) -> bool:
+        """Every task sees whole partitions."""
+        return True
+
+    def plan_bytes(self) -> bytes:
+        """The plan of the stage as text, in UTF-8: Spark plans have no binary form."""
+        return self.plan.encode()
 
     def execution_plan(self) -> str:
         return self.plan
@@ -127,6 +134,30 @@ class Query:
             self._stages = found
         return self._stages
 
+    def analyzed_plan(self) -> str:
+        """Run the query, and its final plan with what each node measured; the last line says how many rows came out."""
+        execution = self.df._jdf.queryExecution()
+        rows = execution.toRdd().count()
+
+        def items(things) -> list:
+            at = things.iterator()
+            out = []
+            while at.hasNext():
+                out.append(at.next())
+            return out
+
+        def lines(node, depth: int) -> list[str]:
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                return lines(node.executedPlan(), depth)
+            if name.endswith("QueryStageExec"):
+                return lines(node.plan(), depth)
+            told = ", ".join(f"{m._1()}={m._2().value()}" for m in sorted(items(node.metrics()), key=lambda m: m._1()) if m._2().value() > 0)
+            own = f"{'  ' * depth}{node.simpleString(100)}" + (f" [{told}]" if told else "")
+            return [own, *(line for child in items(node.children()) for line in lines(child, depth + 1))]
+
+        return "\n".join([*lines(execution.executedPlan(), 0), f"output rows: {rows}"])
+
     def collect(self) -> list[pa.RecordBatch]:
         """All rows, in batches of at most batch_size; an empty result is remembered like any other."""
         if self._batches is None:
@@ -139,14 +170,27 @@ class Query:
         return BatchStream(schema, self._stream(schema) if self._batches is None else iter(self._batches))
 
     def _stream(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        held = []
-        for row in self.df.toLocalIterator(prefetchPartitions=True):
-            held.append(row.asDict(recursive=True))
-            if len(held) == self.batch_size:
-                yield pa.RecordBatch.from_pylist(held, schema)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema)
+        most = self.batch_size
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, most):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, whole.schema) as out:
+                        out.write_batch(whole.slice(at, most))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["ipc"])
+
+        # by position, since columns may share a name
+        numbered = self.df.toDF(*(f"c{k}" for k in range(len(schema))))
+        held: list[pa.RecordBatch] = []
+        for row in numbered.mapInArrow(packed, "ipc binary").toLocalIterator(prefetchPartitions=True):
+            for batch in pa.ipc.open_stream(bytes(row["ipc"])):
+                held.append(pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema))
+            if sum(b.num_rows for b in held) >= most:
+                *full, last = chunked(pa.Table.from_batches(held, schema), most)
+                yield from full if last.num_rows < most else [*full, last]
+                held = [last] if last.num_rows < most else []
+        yield from held and chunked(pa.Table.from_batches(held, schema), most)
 
     def show(self) -> None:
         print(prettify(self.collect(), self.schema()))

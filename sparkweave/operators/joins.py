@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds of joins -> Spark's names.
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "leftsemi": "left_semi", "leftanti": "left_anti", "cross": "cross"}
-#: Rows up to which broadcast_if_small() broadcasts.
-SMALL = 1_000_000
+#: Bytes, as the rows' values take in memory, up to which broadcast_if_small() broadcasts.
+SMALL = 64 << 20
 
 
-def join(left: DataFrame, right: DataFrame, on: Column | list[str] | str | None, kind: str = "inner") -> DataFrame:
+def join(left: DataFrame, right: DataFrame, on: Column | list | str | None, kind: str = "inner") -> DataFrame:
     """Any kind of join. Right semi and right anti are the left ones of the other side; left mark adds the column `mark`."""
     kind = kind.lower().replace("_", "").replace(" ", "").replace("outer", "")
     if kind in ("rightsemi", "rightanti"):
@@ -23,18 +26,24 @@ def join(left: DataFrame, right: DataFrame, on: Column | list[str] | str | None,
     return left.join(right, on, KINDS[kind])
 
 
-def mark(left: DataFrame, right: DataFrame, on: Column, name: str = "mark") -> DataFrame:
+def mark(left: DataFrame, right: DataFrame, on: Column | list[tuple[str, str]], name: str = "mark") -> DataFrame:
     """left with a flag that says whether a row of right fits; a row of left stays one row.
 
-    The rows that fit and those that don't are two joins over the same exchanges, and need no row numbers.
+    on: pairs of columns that are equal, which is one join with the distinct keys of right; or any condition, for which
+    the rows that fit and those that don't are two joins over the same exchanges, without row numbers.
     """
+    if isinstance(on, list):
+        keys = right.select(*(F.col(r).alias(f"__key{k}") for k, (_, r) in enumerate(on))).distinct().withColumn("__hit", F.lit(True))
+        equal = reduce(and_, (left[l] == keys[f"__key{k}"] for k, (l, _) in enumerate(on)))
+        return left.join(keys, equal, "left").select(*left.columns, F.col("__hit").isNotNull().alias(name))
     fits, rest = left.join(right, on, "left_semi"), left.join(right, on, "left_anti")
     return fits.withColumn(name, F.lit(True)).unionAll(rest.withColumn(name, F.lit(False)))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most that many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if its optimized plan is estimated, from the sizes of its files, to have at most that many bytes."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def with_strategy(df: DataFrame, strategy: str) -> DataFrame:

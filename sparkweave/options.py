@@ -13,7 +13,7 @@ OPTIONS: dict[str, str | None] = {
     "execution.parquet.pushdown_filters": "spark.sql.parquet.filterPushdown",
     "execution.parquet.enable_page_index": "spark.sql.parquet.columnIndexFilter",
     "execution.parquet.schema_force_view_types": None,
-    "execution.parquet.pruning": "spark.sql.parquet.filterPushdown",
+    "execution.parquet.pruning": "spark.sql.parquet.recordLevelFilter.enabled",
     "execution.parquet.compression": "spark.sql.parquet.compression.codec",
     "execution.coalesce_batches": None,
     "execution.collect_statistics": "spark.sql.statistics.fallBackToHdfs",

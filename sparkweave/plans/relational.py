@@ -11,7 +11,7 @@ from sparkweave.operators import joins, scalars
 from sparkweave.plans.registry import Registry
 from sparkweave.plans.tables import Tables
 from sparkweave.session import Session
-from sparkweave.sources import readers, writers
+from sparkweave.sources import files, readers, writers
 from sparkweave.sources.shared import shared_dir
 
 R = Registry()
@@ -54,17 +54,14 @@ def _csv_inferred(t: Tables) -> DataFrame:
 
 @R.plan("scan_arrow_ipc", "SELECT r_regionkey, r_name FROM region")
 def _arrow(t: Tables) -> DataFrame:
-    """A table of five rows as an Arrow IPC file, written through Spark's file system by the driver."""
+    """A table of five rows as an Arrow IPC file, written by the driver."""
     import pyarrow as pa
 
     table, sink = t.region.toArrow(), pa.BufferOutputStream()
     with pa.ipc.new_file(sink, table.schema) as out:
         out.write_table(table)
-    jvm, at = t.spark.sparkContext._jvm, scratch(t, "ipc") + ".arrow"
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    out = path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(sink.getvalue().to_pybytes()))
-    out.close()
+    at = scratch(t, "ipc") + ".arrow"
+    files.write(at, sink.getvalue().to_pybytes())
     return readers.arrow(t.spark, at)
 
 
@@ -208,7 +205,7 @@ def _right_anti(t: Tables) -> DataFrame:
 
 @R.plan("join_left_mark", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) AS mark FROM customer")
 def _mark(t: Tables) -> DataFrame:
-    return joins.join(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 450000"), c("c_custkey") == c("o_custkey"), "left_mark")
+    return joins.join(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 450000"), [("c_custkey", "o_custkey")], "left_mark")
 
 
 @R.plan("join_salted", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")

@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkweave.sources import files
 
-#: Schemas by application and path: a file's footer is read once, not once a query.
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+#: Schemas by application, path and time of change: a file's footer is read once, not once a query.
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def _changed(path: str) -> int | None:
+    """When a path was last written, in nanoseconds; None where only Spark can open it."""
+    try:
+        store, at = files.opened(path)
+        return store.get_file_info(at).mtime_ns
+    except (OSError, ValueError):
+        return None
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table whose schema stays the same while the application runs."""
-    key = (spark.sparkContext.applicationId, path)
+    """A Parquet table whose schema stays the same until it is written anew."""
+    key = (spark.sparkContext.applicationId, path, _changed(path))
     if key in _SCHEMAS:
         return spark.read.schema(_SCHEMAS[key]).parquet(path)
     df = spark.read.parquet(path)

@@ -42,7 +42,7 @@ class Session:
     def __init__(self, batch_size: int = 8192, prefetch_buffer_size: int = 0, partitions_per_processor: int | None = None, processor_pool_min: int = 1, processor_pool_max: int = 100, spark: SparkSession | None = None):
         active = spark or SparkSession.getActiveSession()
         if active is None:
-            active = spark_session(**{"spark.dynamicAllocation.minExecutors": str(processor_pool_min), "spark.dynamicAllocation.maxExecutors": str(processor_pool_max)})
+            active = spark_session(**{"spark.dynamicAllocation.enabled": "true", "spark.dynamicAllocation.shuffleTracking.enabled": "true", "spark.dynamicAllocation.minExecutors": str(processor_pool_min), "spark.dynamicAllocation.maxExecutors": str(processor_pool_max)})
         self.spark = spark or active.newSession()
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.batch_size, self._prepared, self._owned = batch_size, {}, set()
@@ -117,25 +117,32 @@ class Session:
         return self.spark.createDataFrame([], "status string")
 
     def _create(self, text: str) -> DataFrame | None:
-        if m := re.match(r"CREATE\s+(?:UNBOUNDED\s+)?EXTERNAL\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s*(\(.*?\))?\s*(.*)$", text, re.I | re.S):
-            exists = self.spark.catalog.tableExists(m[2])
-            if exists and not m[1]:
-                raise ValueError(f"table {m[2]} exists")
+        if m := re.match(r"CREATE\s+(UNBOUNDED\s+)?EXTERNAL\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s*(\(.*?\))?\s*(.*)$", text, re.I | re.S):
+            exists = self.spark.catalog.tableExists(m[3])
+            if exists and not m[2]:
+                raise ValueError(f"table {m[3]} exists")
             if not exists:
-                self._register(m[2], readers.external(self.spark, m[3], m[4]))
+                self._register(m[3], readers.external(self.spark, m[4], m[5], bool(m[1])))
             return self._nothing()
         if m := re.match(rf"CREATE\s+(OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?VIEW\s+({_NAME})\s*(.*)$", text, re.I | re.S):
+            if not m[1] and self.spark.catalog.tableExists(m[2]):
+                raise ValueError(f"table {m[2]} exists")
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {m[2]} {dialect.rewrite(m[3])}")
             self._owned.add(m[2].strip('"`'))
             return self._nothing()
         return None
 
     def _replace(self, table: str, query: str) -> DataFrame:
-        """A table of files with the rows of a query over it: written beside it, then put in its place."""
-        beside = f"{table}__{uuid.uuid4().hex[:8]}"
-        self.spark.sql(f"CREATE TABLE {beside} USING parquet AS {query}")
-        self.spark.sql(f"DROP TABLE {table}")
-        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
+        """A table of files with the rows of a query over it: written beside it, in its format and partitions, then put in
+        its place. The old rows go last: after a failure they are there, under the table's name or `<name>__old_…`."""
+        tag, plain = uuid.uuid4().hex[:8], table.strip('`"')
+        beside, old = f"`{plain}__new_{tag}`", f"`{plain}__old_{tag}`"
+        told = {r[0]: r[1] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+        parts = [f"`{c.name}`" for c in self.spark.catalog.listColumns(plain) if c.isPartition]
+        self.spark.sql(f"CREATE TABLE {beside} USING {told.get('Provider', 'parquet')}{f' PARTITIONED BY ({", ".join(parts)})' if parts else ''} AS {query}")
+        self.spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        self.spark.sql(f"ALTER TABLE {beside} RENAME TO `{plain}`")
+        self.spark.sql(f"DROP TABLE {old}")
         return self._nothing()
 
     def _delete(self, text: str) -> DataFrame:
@@ -183,10 +190,7 @@ class Session:
         m = re.match(r"EXPLAIN\s+(?:(ANALYZE)\s+)?(?:(VERBOSE|EXTENDED|FORMATTED|CODEGEN|COST)\s+)?(.*)$", text, re.I | re.S)
         query = dialect.rewrite(m[3])
         if m[1]:
-            df = self.spark.sql(query)
-            rows = df.count()
-            plan = df._jdf.queryExecution().executedPlan().toString()
-            return self.spark.createDataFrame([(f"{plan}\noutput rows: {rows}",)], "plan string")
+            return self.spark.createDataFrame([(Query(self.spark.sql(query)).analyzed_plan(),)], "plan string")
         mode = {"VERBOSE": "EXTENDED"}.get((m[2] or "").upper(), (m[2] or "FORMATTED").upper())
         return self.spark.sql(f"EXPLAIN {mode} {query}")
 

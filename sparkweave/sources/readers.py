@@ -7,6 +7,8 @@ import re
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkweave.sources import files
+
 #: Options of CSV tables under their SQL names -> Spark's.
 _CSV = {"has_header": "header", "delimiter": "sep", "quote": "quote", "escape": "escape", "comment": "comment", "newlines_in_values": "multiLine", "null_value": "nullValue", "date_format": "dateFormat", "timestamp_format": "timestampFormat", "compression": "compression"}
 
@@ -23,6 +25,11 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(_fetched(spark, path))
 
 
+def stream(spark: SparkSession, kind: str, path: str, schema: str, **options) -> DataFrame:
+    """A folder as an unbounded table: files that come later are read later."""
+    return spark.readStream.format(kind).schema(schema).options(**options).load(path)
+
+
 def listing(spark: SparkSession, path: str, extension: str = "parquet") -> DataFrame:
     return spark.read.option("pathGlobFilter", f"*{extension}").parquet(path.rstrip("/") + "/")
 
@@ -49,28 +56,46 @@ def avro(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC file or stream; it is decoded where it is read, a batch at a time."""
+    """Arrow IPC files, a file or a folder: of the file format a task reads a record batch, of the stream format a file.
+
+    The driver reads one schema; executors open the files themselves, so the path is on a store that they share.
+    """
     import pyarrow as pa
+    from pyspark import cloudpickle
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    def batches(data: bytes):
-        source = pa.BufferReader(data)
-        return pa.ipc.open_file(source) if data[:6] == b"ARROW1" else pa.ipc.open_stream(source)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # not the contents
+    first = listed.first()
+    if first is None:
+        raise ValueError(f"no files in {path}")
+    get = cloudpickle.loads(cloudpickle.dumps(files.opened))
 
-    files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").first()
-    schema = from_arrow_schema(batches(bytes(first[0])).schema)
+    def reader(address: str):
+        store, at = get(address)
+        source = store.open_input_file(at)
+        is_file = source.read(6) == b"ARROW1"
+        source.seek(0)
+        return (pa.ipc.open_file if is_file else pa.ipc.open_stream)(source)
 
-    def decode(parts):
-        for part in parts:
-            for content in part.column("content"):
-                reader = batches(content.as_py())
-                if hasattr(reader, "num_record_batches"):
-                    yield from (reader.get_batch(k) for k in range(reader.num_record_batches))
-                else:
-                    yield from reader
+    schema = from_arrow_schema(reader(first[0]).schema)
 
-    return files.select("content").mapInArrow(decode, schema)
+    def count(batches):
+        for batch in batches:
+            for address in batch.column("path").to_pylist():
+                n = getattr(reader(address), "num_record_batches", -1)
+                yield pa.RecordBatch.from_pydict({"path": [address] * max(n, 1), "k": list(range(n)) if n > 0 else [min(n, 0)]}, pa.schema([("path", pa.string()), ("k", pa.int32())]))
+
+    def decode(batches):
+        for batch in batches:
+            for address, k in zip(batch.column("path").to_pylist(), batch.column("k").to_pylist()):
+                opened = reader(address)
+                if k < 0:
+                    yield from opened
+                elif opened.num_record_batches:
+                    yield opened.get_batch(k)
+
+    parts = listed.mapInArrow(count, "path string, k int")
+    return parts.repartition("path", "k").mapInArrow(decode, schema)
 
 
 def _options(text: str) -> dict[str, str]:
@@ -79,12 +104,22 @@ def _options(text: str) -> dict[str, str]:
     return {k.split(".")[-1].lower(): v for k, v in pairs}
 
 
-def external(spark: SparkSession, columns: str | None, rest: str) -> DataFrame:
-    """The table of CREATE EXTERNAL TABLE: column definitions in brackets or none, then STORED AS, LOCATION and options."""
+def external(spark: SparkSession, columns: str | None, rest: str, unbounded: bool = False) -> DataFrame:
+    """The table of CREATE EXTERNAL TABLE: column definitions in brackets or none, then STORED AS, LOCATION and options.
+
+    An unbounded one is a stream over a folder; without column definitions it has those of the files that are there.
+    """
     kind, at = re.search(r"\bSTORED\s+AS\s+(\w+)", rest, re.I), re.search(r"\bLOCATION\s+'([^']+)'", rest, re.I)
     if not kind or not at:
         raise ValueError("an external table needs STORED AS and LOCATION")
     schema, told = columns[1:-1] if columns else None, _options(rest)
+    if unbounded:
+        form = {"ndjson": "json"}.get(kind[1].lower(), kind[1].lower())
+        if form not in ("parquet", "csv", "json", "orc"):
+            raise ValueError(f"no stream of that format: {form}")
+        headed = {"header": told.get("has_header", "true" if not schema or re.search(r"\bWITH\s+HEADER\s+ROW\b", rest, re.I) else "false")} if form == "csv" else {}
+        there = external(spark, columns, rest).schema
+        return stream(spark, form, at[1], there, **headed)
     match kind[1].lower():
         case "parquet":
             return parquet(spark, at[1])

@@ -1,6 +1,9 @@
 """The session, its lazy queries and its options."""
 
 import asyncio
+import functools
+import http.server
+import threading
 
 import pyarrow as pa
 import pytest
@@ -8,6 +11,8 @@ from conftest import plain
 
 from sparkweave import Query, Session, Validator, prettify
 from sparkweave.frame import chunked
+from sparkweave.sources import files, readers
+from sparkweave.streaming import events
 
 
 @pytest.fixture()
@@ -124,3 +129,74 @@ def test_close_drops_own_tables(spark, folder):
     session.register_parquet("mine", f"{folder}/region.parquet")
     session.close()
     assert not session.spark.catalog.tableExists("mine")
+
+
+def test_columns_of_one_name_stay_apart(session):
+    query = session.sql("SELECT 1 AS a, 2 AS a, 'x' AS b, CAST('2024-01-02 03:04:05' AS TIMESTAMP) AS t, array(1, NULL) AS l, named_struct('k', 1.50BD) AS s UNION ALL SELECT 3, 4, NULL, NULL, NULL, named_struct('k', 2.50BD)")
+    streamed = list(query.batches())
+    assert pa.Table.from_batches(streamed).equals(pa.Table.from_batches(query.collect()))
+    assert sorted(streamed[0].column(1).to_pylist() + [v for b in streamed[1:] for v in b.column(1).to_pylist()]) == [2, 4]
+
+
+def test_a_view_is_replaced_only_on_request(session):
+    session.sql("CREATE VIEW v AS SELECT 1 AS a")
+    with pytest.raises(ValueError, match="exists"):
+        session.sql("CREATE VIEW v AS SELECT 2 AS a")
+    session.sql("CREATE OR REPLACE VIEW v AS SELECT 3 AS a")
+    assert session.sql("SELECT a FROM v").df.collect() == [(3,)]
+
+
+def test_explain_analyze_measures_the_query(session):
+    text = session.sql("EXPLAIN ANALYZE SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus").df.first()[0]
+    orders, groups = session.table("orders").df.count(), session.sql("SELECT DISTINCT o_orderstatus FROM orders").df.count()
+    scan, last = next(line for line in text.splitlines() if "FileScan parquet" in line), text.splitlines()[-1]
+    assert f"numOutputRows={orders}" in scan and last == f"output rows: {groups}" and text.count("HashAggregate") == 2
+
+
+def test_unbounded_external_tables(session, spark, tmp_path):
+    spark.range(5).selectExpr("id AS k", "id * 2 AS v").write.parquet(str(tmp_path / "in"))
+    session.sql(f"CREATE UNBOUNDED EXTERNAL TABLE grows STORED AS PARQUET LOCATION '{tmp_path}/in'")
+    df = session.sql("SELECT k, v + 1 AS w FROM grows WHERE k > 1").df
+    assert df.isStreaming
+    for _ in range(2):  # the second run sees only what is new
+        events.write(df, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+        spark.range(7, 8).selectExpr("id AS k", "id * 2 AS v").write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(2, 5), (3, 7), (4, 9), (7, 15)]
+    with pytest.raises(ValueError, match="no stream"):
+        session.sql(f"CREATE UNBOUNDED EXTERNAL TABLE other STORED AS ARROW LOCATION '{tmp_path}/in'")
+
+
+def test_arrow_files_are_read_by_batch(session, spark, tmp_path):
+    table = pa.table({"a": list(range(10)), "b": [None, "x"] * 5})
+    for name, new in (("one.arrow", pa.ipc.new_file), ("two.arrows", pa.ipc.new_stream)):
+        with new(str(tmp_path / name), table.schema) as out:
+            out.write_table(table, max_chunksize=3)
+    with pa.ipc.new_file(str(tmp_path / "empty.arrow"), table.schema):
+        pass
+    df = readers.arrow(spark, str(tmp_path))
+    assert sorted(r["a"] for r in df.collect()) == sorted(2 * list(range(10))) and df.columns == ["a", "b"]
+    assert readers.arrow(spark, str(tmp_path / "empty.arrow")).collect() == []
+
+
+def test_files_over_http(session, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    (tmp_path / "t.json").write_text('{"a": 1}\n{"a": 2}\n')
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        session.register_csv("remote", f"http://127.0.0.1:{server.server_port}/t.csv")
+        session.register_json("remote_json", f"http://127.0.0.1:{server.server_port}/t.json")
+        assert sorted(map(tuple, session.sql("SELECT a, b FROM remote").df.collect())) == [(1, "x"), (2, "y")]
+        assert session.sql("SELECT sum(a) AS n FROM remote_json").df.collect() == [(3,)]
+        server.shutdown()
+
+
+def test_files_helper(tmp_path):
+    at = f"file://{tmp_path}/x"
+    assert files.names(at) == [] and files.marked(at) == [] and not files.exists(at)
+    for name in ("b/_SUCCESS", "a/_SUCCESS", "c/part", "d/e/_SUCCESS"):
+        files.write(f"{at}/{name}")
+    assert files.names(at) == ["a", "b", "c", "d"] and files.marked(at) == ["a", "b"]
+    files.remove(f"{at}/a")
+    files.remove(f"{at}/a")
+    assert files.marked(at) == ["b"] and files.exists(f"{at}/c/part")
