@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkweave.sources import files
 from sparkweave.sources.shared import shared_dir
 
 #: A word, wherever words are counted: anything but ASCII white space.
@@ -35,7 +36,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def release(spark: SparkSession) -> None:
     """Delete all that this process has staged; results that read it can be read no longer."""
     while _made:
-        remove(spark, _made.pop())
+        files.remove(_made.pop())
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -45,17 +46,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that it is on."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        remove(df.sparkSession, path)
+        files.remove(path)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

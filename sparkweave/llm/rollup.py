@@ -5,7 +5,8 @@ count up, deletes down, a revised count takes the old one back and adds the new
 version if that changed. Deltas are summed before they are stored, and totals are sums over committed
 batches. A batch is committed by the success mark that Spark writes into its folder last, so that a
 batch that failed half-way is not seen and is written anew, and one that is sent again changes
-nothing. compact() folds the committed batches into one table, which remembers their names.
+nothing. Repeated rows count as often as they come, texts of any length are encoded whole, and an empty
+table commits an empty batch. compact() folds the committed batches into one table, which remembers their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from sparkweave.llm.common import new_path, slices
 from sparkweave.llm.tokens import Encoder
+from sparkweave.sources import files
 
 KEYS = ("source", "lang", "version")
 _FIELDS = "source string, lang string, version string, docs long, tokens long"
@@ -55,14 +57,10 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _committed(self, kind: str) -> list[str]:
         """Names below a folder that have the success mark."""
-        at = self._path(f"{self.root}/{kind}")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return sorted(n for n in names if self._fs.exists(self._path(f"{self.root}/{kind}/{n}/_SUCCESS")))
+        return files.marked(f"{self.root}/{kind}")
 
     def _base(self) -> str | None:
         return f"{self.root}/base/{names[-1]}" if (names := self._committed("base")) else None
@@ -71,12 +69,16 @@ class Rollup:
         """Add the changes (source, lang, version, docs, tokens) under the name of a batch; False if it was there already."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
             raise ValueError(f"not a name of a batch: {batch!r}")
-        if batch in self._committed("batches") or batch in self._folded():
+        if files.exists(f"{self.root}/batches/{batch}/_SUCCESS") or self._is_folded(batch):
             return False
         summed = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
         summed.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/batches/{batch}")
         return True
 
+    def _is_folded(self, batch: str) -> bool:
+        base = self._base()
+        return base is not None and not self.spark.read.schema("batch string").parquet(f"{base}/names").where(F.col("batch") == batch).isEmpty()
+
     def _folded(self) -> set[str]:
         base = self._base()
         return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{base}/names").collect()} if base else set()
@@ -96,9 +98,9 @@ class Rollup:
         at = f"{self.root}/base/{len(self._committed('base')):08d}"
         self.totals().write.mode("overwrite").parquet(f"{at}/totals")
         self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{at}/names")
-        self._fs.create(self._path(f"{at}/_SUCCESS"), True).close()
+        files.write(f"{at}/_SUCCESS")
         for name in self._committed("batches"):
-            self._fs.delete(self._path(f"{self.root}/batches/{name}"), True)
+            files.remove(f"{self.root}/batches/{name}")
 
 
 def new(spark: SparkSession) -> Rollup:

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from sparkweave.llm import idstore, rollup
 from sparkweave.llm.tokens import Encoder
+from sparkweave.sources import files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -115,7 +116,7 @@ def test_rollup(spark):
 def test_a_batch_that_failed_half_way_is_not_seen(spark):
     table, rows = rollup.new(spark), spark.sql("SELECT 's' AS source, 'l' AS lang, 'v' AS version, 1L AS docs, 5L AS tokens")
     rows.write.parquet(f"{table.root}/batches/b1")
-    table._fs.delete(table._path(f"{table.root}/batches/b1/_SUCCESS"), False)
+    files.remove(f"{table.root}/batches/b1/_SUCCESS")
     assert table.totals().isEmpty() and table.commit("b1", rows)
     assert [tuple(r) for r in table.totals().collect()] == [("s", "l", "v", 1, 5)]
     with pytest.raises(ValueError):
