@@ -6,7 +6,8 @@ integers (16 bits if the vocabulary fits, else 32), and `<name>.mph`, the index.
 minimal perfect hash of the distinct keys (levels of bit arrays: a key sits at the first level at
 which no other key shares its bit; its slot is that bit's rank), and per slot a fingerprint, the
 key's first row and its number of rows; then the rows' offsets, and the keys in row order for scans.
-A lookup reads a few bits, one fingerprint and two offsets, whatever the shard's size.
+A lookup reads, by range, a block of bits and its rank for each level that it tries (two or three), one
+fingerprint and the offsets of its rows: some hundred bytes, whatever the shard's size.
 Limasset et al., "Fast and scalable minimal perfect hashing for massive key sets" (2017).
 
 Files are named anew by each task attempt and count only once the manifest names them, so that
@@ -18,7 +19,8 @@ from __future__ import annotations
 import bisect
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ class PerfectHash:
     """Maps n distinct 64-bit keys to the slots 0 to n - 1, each once; of a strange key it gives some slot or -1."""
 
     SPREAD = 1.5
+    #: Words of bits between two stored ranks.
+    BLOCK = 8
 
     def __init__(self, sizes: np.ndarray, words: np.ndarray):
         self.sizes, self.words = sizes, words
@@ -101,7 +105,7 @@ class Index:
         return cls(hash_, prints[order], (first + nameless)[order].astype(np.int64), copies[order].astype(np.int64), np.concatenate([[0], np.cumsum(counts)]), keys)
 
     def parts(self) -> list[np.ndarray]:
-        own = [self.hash.sizes, self.hash.words, self.prints, self.first, self.copies, self.offsets, self.keys]
+        own = [self.hash.sizes, self.hash.words, self.hash.ranks[: -1 : self.hash.BLOCK], self.prints, self.first, self.copies, self.offsets, self.keys]
         return [np.array([len(x) for x in own], "<i8"), *(np.ascontiguousarray(x, k) for x, k in zip(own, KINDS))]
 
     @classmethod
@@ -110,7 +114,7 @@ class Index:
         for n, kind in zip(np.frombuffer(data, "<i8", len(KINDS)), KINDS):
             own.append(np.frombuffer(data, kind, n, at))
             at += own[-1].nbytes
-        return cls(PerfectHash(own[0], own[1]), *own[2:])
+        return cls(PerfectHash(own[0], own[1]), *own[3:])
 
     def rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key; -1 and 0 where the fingerprint says that it is not here."""
@@ -123,7 +127,40 @@ class Index:
 
 
 #: Of the parts of an index file, after their lengths.
-KINDS = ("<i8", "<u8", "<u4", "<i8", "<i8", "<i8", "<i8")
+KINDS = ("<i8", "<u8", "<i8", "<u4", "<i8", "<i8", "<i8", "<i8")
+
+
+class Lookup:
+    """Single keys of an index that stays in its file: what a key needs is read by range. read(start, size) gives bytes."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read, lengths = read, np.frombuffer(read(0, 8 * len(KINDS)), "<i8")
+        sizes = [n * np.dtype(k).itemsize for n, k in zip(lengths, KINDS)]
+        self.starts = 8 * len(KINDS) + np.cumsum(sizes) - sizes
+        self.levels, self.n_words = self._values(0, 0, int(lengths[0])), int(lengths[1])
+        self.bases = np.cumsum(self.levels) - self.levels
+
+    def _values(self, part: int, first: int, n: int) -> np.ndarray:
+        width = np.dtype(KINDS[part]).itemsize
+        return np.frombuffer(self.read(int(self.starts[part]) + first * width, n * width), KINDS[part])
+
+    def _slot(self, key: np.ndarray) -> int:
+        for level, (base, size) in enumerate(zip(self.bases, self.levels)):
+            at = int(base) + int(_place(key, level, int(size))[0])
+            first = at // 64 // PerfectHash.BLOCK * PerfectHash.BLOCK
+            words = self._values(1, first, min(PerfectHash.BLOCK, self.n_words - first))
+            word, bit = int(words[at // 64 - first]), at % 64
+            if word >> bit & 1:
+                return int(self._values(2, first // PerfectHash.BLOCK, 1)[0]) + int(np.bitwise_count(words[: at // 64 - first]).sum()) + (word & ((1 << bit) - 1)).bit_count()
+        return -1
+
+    def offsets(self, key: int) -> np.ndarray:
+        """Where the ids of each row of a key start, and where the last ones end; empty if the key is not here."""
+        keys = np.array([key], np.int64).view(np.uint64)
+        slot = self._slot(keys)
+        if slot < 0 or self._values(3, slot, 1)[0] != mix(keys, Index.FINGERPRINT).astype(np.uint32)[0]:
+            return np.empty(0, np.int64)
+        return self._values(6, int(self._values(4, slot, 1)[0]), int(self._values(5, slot, 1)[0]) + 1)
 
 
 def write(docs: DataFrame, root: str, tokenizer: str, end_id: int, by_word: bool = True, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
@@ -195,11 +232,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Reader:
-    """Keyed access for one process: the manifest in memory (a row a shard), and the indexes used last; a key costs the
-    same whatever the number of documents in its shard."""
+    """Keyed access for one process: the manifest in memory (a row a shard), and the headers of the indexes used last; a
+    key costs the same few reads whatever the number of documents in its shard."""
 
-    #: Indexes to keep.
-    HELD = 16
+    #: Headers to keep.
+    HELD = 1024
 
     def __init__(self, spark: SparkSession, root: str):
         self.store, self.rows = Store(root), sorted((r.asDict() for r in manifest(spark, root).collect()), key=lambda r: r["shard"])
@@ -215,13 +252,12 @@ class Reader:
             if row["last_key"] < key:
                 continue
             name, width = row["name"], row["width"]
-            index = self.loaded.pop(name, None) or Index.load(self.store.read(f"{name}.mph"))
+            index = self.loaded.pop(name, None) or Lookup(partial(self.store.read, f"{name}.mph"))
             self.loaded[name] = index
             if len(self.loaded) > self.HELD:
                 self.loaded.pop(next(iter(self.loaded)))
-            first, copies = (int(x[0]) for x in index.rows(np.array([key], np.int64)))
-            for r in range(first, first + copies):
-                a, b = int(index.offsets[r]), int(index.offsets[r + 1])
+            ends = index.offsets(key).tolist()
+            for a, b in zip(ends, ends[1:]):
                 out.append(np.frombuffer(self.store.read(f"{name}.ids", a * width, (b - a) * width), f"<u{width}").astype(np.uint32))
         return out
 

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: a pivot distance table discards pairs, survivors are verified.
 
 Two fingerprints of 64 bits that differ in at most three bits agree in two of five bands at least,
-so the pairs of bands (ten keys of about 26 bits) are complete blocks. Within a block, each
+so the pairs of bands (ten keys of about 26 bits) are complete blocks; a crowded block is cut once more
+by four bands of its other 38 bits, one of which must agree. Within a block, each
 fingerprint has a row of Hamming distances to many reference fingerprints (pivots). By the triangle
 inequality, two fingerprints at distance d differ by at most d in every coordinate: a pair whose
 largest coordinate difference is over three is discarded, the others are compared bit by bit.
@@ -29,8 +30,8 @@ from sparkweave.llm.components import components
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Widths of the bands, from the lowest bit.
 BANDS = (13, 13, 13, 13, 12)
-#: Fingerprints of one block that one task compares; a larger block is dealt out as pairs of chunks.
-CHUNK = 2048
+#: Fingerprints from which a block is crowded, and of one cut of it that are compared at once; a larger cut is dealt out as pairs of chunks.
+CHUNK, TILE = 2048, 65_536
 N_PIVOTS = 16
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 18
@@ -94,8 +95,9 @@ def _close(a: np.ndarray, b: np.ndarray, same: bool, pivots: np.ndarray, radius:
     """Positions in a and b of pairs within the radius, a strip of a at a time."""
     table_a = np.bitwise_count(a[:, None] ^ pivots).astype(np.int8)
     table_b = table_a if same else np.bitwise_count(b[:, None] ^ pivots).astype(np.int8)
-    for k in range(0, len(a), 512):
-        near = np.abs(table_a[k : k + 512, None, 0] - table_b[None, :, 0]) <= radius
+    strip = max(1, (1 << 21) // max(len(b), 1))
+    for k in range(0, len(a), strip):
+        near = np.abs(table_a[k : k + strip, None, 0] - table_b[None, :, 0]) <= radius
         i, j = np.nonzero(np.triu(near, k + 1) if same else near)
         for c in range(1, len(pivots)):
             keep = np.abs(table_a[i + k, c] - table_b[j, c]) <= radius
@@ -124,7 +126,7 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tupl
 
 
 def _links(radius: int):
-    """On rows (block, key, left, right, side, fp) sorted by all of these: links (u, v) that connect each tile's close pairs."""
+    """On rows (block, key, part, i, j, side, fp) sorted by all of these: links (u, v) that connect each tile's close pairs."""
 
     def tile(fps: np.ndarray, sides: np.ndarray, same: bool, pivots: np.ndarray) -> np.ndarray:
         if same:
@@ -138,21 +140,21 @@ def _links(radius: int):
         pivots, rest = _pivots(), None
 
         def over(rows: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
-            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]))
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :5] != rows[:-1, :5]).any(axis=1)]))
             ends = np.append(starts[1:], len(rows))
             many = ends - starts > 1
-            found = [tile(fps[a:b], rows[a:b, 4], rows[a, 2] == rows[a, 3], pivots) for a, b in zip(starts[many], ends[many])]
+            found = [tile(fps[a:b], rows[a:b, 5], rows[a, 3] == rows[a, 4], pivots) for a, b in zip(starts[many], ends[many])]
             links = np.concatenate([np.empty((0, 2), np.uint64), *found]).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(batch.column(c), np.int64) for c in ("block", "key", "i", "j", "side")], axis=1)
+            rows = np.stack([np.asarray(batch.column(c), np.int64) for c in ("block", "key", "part", "i", "j", "side")], axis=1)
             fps = np.asarray(batch.column("fp"), np.int64).view(np.uint64)
             if rest is not None:
                 rows, fps = np.concatenate([rest[0], rows]), np.concatenate([rest[1], fps])
-            others = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
+            others = np.flatnonzero((rows[:, :5] != rows[-1, :5]).any(axis=1))
             last = others[-1] + 1 if len(others) else 0
             rest = rows[last:], fps[last:]
             if last:
@@ -171,17 +173,27 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     for width in BANDS:
         bands.append(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
         at += width
-    keys = F.array(*[F.struct(F.lit(n).alias("block"), (bands[a] * (1 << 13) + bands[b]).alias("key")) for n, (a, b) in enumerate(combinations(range(5), 2))])
-    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.key")
-    large = stage(keyed.groupBy("block", "key").count().where(F.col("count") > CHUNK).select("block", "key", F.ceil(F.col("count") / (CHUNK // 2)).cast("int").alias("chunks")), "blocks")
-    one = keyed.join(checked(large), ["block", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    tiles = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j"), (F.col("own") > other).cast("int").alias("side")))
-    )
-    dealt = one.withColumn("own", own).select("block", "key", "fp", F.explode(tiles).alias("t")).select("block", "key", "t.i", "t.j", "t.side", "fp")
-    order = ["block", "key", "i", "j", "side", "fp"]
-    return dealt.repartition("block", "key", "i", "j").sortWithinPartitions(*order).mapInArrow(_links(radius), "u long, v long")
+    def key_of(n: int, a: int, b: int):
+        c, d, e = (bands[k] for k in range(5) if k not in (a, b))
+        return F.struct(F.lit(n).alias("block"), (bands[a] * (1 << 13) + bands[b]).alias("key"), ((c * (1 << 13) + d) * (1 << 13) + e).alias("others"))
+
+    keys = F.array(*[key_of(n, a, b) for n, (a, b) in enumerate(combinations(range(5), 2))])
+    keyed, spot = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.key", "k.others"), ["block", "key"]
+    crowded = stage(keyed.groupBy(*spot).count().where(F.col("count") > CHUNK).select(*spot, F.lit(True).alias("crowded")), "blocks")
+    columns = ["block", "key", "part", "i", "j", "side", "fp"]
+    if crowded.isEmpty():
+        dealt = keyed.withColumns({c: F.lit(0) for c in ("part", "i", "j", "side")}).select(*columns)
+    else:
+        # part 0: the whole block; of crowded ones, each of four bands of ten bits (the last has what is left)
+        cut = F.array(*[F.shiftright("others", 10 * n).bitwiseAND(F.lit(1023)) + n * 1024 + 1 for n in range(4)])
+        parted = keyed.join(checked(crowded), spot, "left").select("block", "key", F.explode(F.when(F.col("crowded"), cut).otherwise(F.array(F.lit(0).cast("long")))).alias("part"), "fp")
+        spot = [*spot, "part"]
+        large = parted.where("part > 0").groupBy(*spot).count().where(F.col("count") > TILE)
+        large = stage(large.select(*spot, F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("chunks")), "parts")
+        one = parted.join(checked(large), spot, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j"), (F.col("own") > other).cast("int").alias("side")))
+        dealt = one.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).select(*spot, "fp", F.explode(tiles).alias("t")).select(*spot, "t.i", "t.j", "t.side", "fp")
+    return dealt.repartition(*columns[:5]).sortWithinPartitions(*columns).mapInArrow(_links(radius), "u long, v long")
 
 
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:

@@ -53,6 +53,25 @@ def test_equal_rows_are_dealt_out(spark, monkeypatch, numbered, i, text):
     assert told[0] == told[1]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_whole_rows_are_placed_and_written_alike(spark, tmp_path, files):
+    rows = [(k, f"text {k % 250} " * (1 + k % 9)) for k in range(500)] + [(7, "many equal rows " * 20)] * 2000 + [(None, None), (1, "")]
+    df = frame(spark, rows)
+    sharding.write(sharding.place(df), str(tmp_path / "out"), files)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*df.columns, "slot"]) and 8 <= len(list((tmp_path / "out").glob("shard=*/*.parquet"))) <= 8 * files
+    key = lambda r: (str(r["doc_id"]), zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"])
+    want = sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(df).collect())
+    assert sorted(map(key, back.collect())) == want
+    assert sorted(((r["doc_id"], r["text"]) for r in back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_a_very_long_text_fills_a_shard(spark):
+    rows = [(0, "long " * 400_000)] + [(k, f"short {k}") for k in range(1, 400)]
+    got = checked(sharding.shard(frame(spark, rows)), rows)
+    assert (got[got["doc_id"] > 0]["shard"] != got[got["doc_id"] == 0]["shard"].iloc[0]).all()
+
+
 def test_reruns_agree(spark):
     rows = [(k % 400, f"t{k % 90}") for k in range(800)]
     a, b = (sorted(map(tuple, sharding.shard(df).select("doc_id", "text_crc32", "shard", "slot").collect())) for df in (frame(spark, rows), frame(spark, rows[::-1]).repartition(7)))

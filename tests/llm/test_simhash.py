@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkweave.llm import simhash
 from sparkweave.llm.components import components
@@ -111,10 +112,11 @@ def test_keep_one_where_ids_repeat(spark):
     assert two[0] == two[1] and len(two[0]) == 1
 
 
-@pytest.mark.parametrize("chunk", [2, 8, 2048])
-def test_links_of_crowded_blocks(spark, monkeypatch, chunk):
-    """Many fingerprints in the same blocks, dealt out in chunks of any size, stay as connected as they are."""
+@pytest.mark.parametrize("chunk, tile", [(2, 2), (8, 6), (8, 65_536), (2048, 65_536)])
+def test_links_of_crowded_blocks(spark, monkeypatch, chunk, tile):
+    """Many fingerprints in the same blocks, cut and dealt out in chunks of any size, stay as connected as they are."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "TILE", tile)
     r = random.Random(chunk)
     base = r.getrandbits(64)
     near = {base}
@@ -131,6 +133,21 @@ def test_links_of_crowded_blocks(spark, monkeypatch, chunk):
     assert groups(near, lambda a, b: (a, b) in pairs) == groups(near, lambda a, b: (a ^ b).bit_count() <= 3)
 
 
+def test_a_block_that_very_many_share(spark):
+    """100,000 fingerprints with equal upper halves: what is shuffled grows with them, not with their pairs."""
+    r = np.random.default_rng(4)
+    low = np.unique(r.integers(0, 1 << 32, 100_000, np.uint64))
+    near = low[:300] ^ np.uint64(5)
+    fps = np.unique(np.concatenate([low, near])) | np.uint64(0x1234567 << 32)
+    df = spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp long")
+    found = {tuple(sorted(map(int, p))) for p in simhash.links(df).collect()}
+    root = components(spark.createDataFrame(sorted(found), "u long, v long")).collect()
+    of = {r["node"]: r["component"] for r in root}
+    signed = lambda x: int(np.uint64(x | np.uint64(0x1234567 << 32)).view(np.int64))
+    assert all(of[signed(a)] == of[signed(b)] for a, b in zip(low[:300], near))
+    assert all((u ^ v).bit_count() <= 3 for u, v in found)
+
+
 def test_pivots_never_discard_a_close_pair():
     r = np.random.default_rng(3)
     a = r.integers(0, 1 << 64, 200, np.uint64)

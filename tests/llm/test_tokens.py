@@ -74,6 +74,26 @@ def test_shards(spark):
     assert reader.get(10) == [] and reader.get(10**12) == [] and reader.get(-(10**12)) == []
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 1000, 200_000])
+def test_lookups_read_little(n):
+    r = np.random.default_rng(n)
+    keys = np.sort(r.integers(-(1 << 62), 1 << 62, n)).repeat(r.integers(1, 3, n))
+    index = idstore.Index.build(keys, r.integers(0, 50, len(keys) + 3))
+    data, read = b"".join(p.tobytes() for p in index.parts()), []
+
+    def some(start, size):
+        read.append(size)
+        return data[start : start + size]
+
+    every = idstore.Index.load(data)
+    for key in [*r.choice(keys, min(n, 300)).tolist(), *r.integers(-(1 << 62), 1 << 62, 50).tolist()]:
+        read.clear()
+        ends = idstore.Lookup(some).offsets(key)  # cold, with the header
+        first, copies = (int(x[0]) for x in every.rows(np.array([key])))
+        assert ends.tolist() == (index.offsets[first : first + copies + 1].tolist() if copies else []) and sum(read) < 1500
+        assert (copies > 0) == bool((keys == key).any())
+
+
 def test_empty_shards(spark):
     root, _ = idstore.encode(frame(spark, []), PATH, 2)
     assert idstore.scan(spark, root).collect() == []
