@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm import decontam, mixing, sharding, simhash, toxicity
-from sparkweave.llm.common import stage
+from sparkweave.llm.common import discard, stage
 
 #: SQL has no fitted models, XXH64 fingerprints or seeded hash ranks: the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -32,16 +32,24 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and the slot in it of every document of the mix."""
-    return sharding.shard(docs)
+    """The documents of the mix, each with its shard and the slot in it."""
+    return sharding.place(docs)
 
 
 STAGES = [("toxicity", detoxify), ("simhash", deduplicate), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, one after the other, each written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, one after the other, each written before the next reads it and deleted after that."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str, files: int = 1) -> None:
+    """run(), written by shard, in the order of the slots."""
+    sharding.write(run(spark, sf_dir), path, files)
