@@ -36,11 +36,21 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from a slash on, its segments . and .. taken out (RFC 3986, 5.2.4)."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    walked = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out).when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(s))))
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    plain = F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(F.size(walked) > 0, ends).otherwise(""))
+    return F.when(path.rlike(r"^(/|.*/)\.\.?(/|$)") & path.startswith("/"), plain).otherwise(path)
+
+
 def node(url: Column) -> Column:
-    """What names the page whatever the scheme, fragment, tracking parameters and last slash; null for null or without ://."""
+    """What names the page whatever the scheme, its usual port, fragment, tracking parameters, dot segments and last slash; null for null or without ://."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.regexp_replace(F.regexp_replace(F.concat(F.lit("&"), query), rf"&{TRACKING}(?:=[^&]*)?(?=&|$)", ""), "^&+", "")
-    plain = F.concat(host(url), F.regexp_replace(path(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    usual = F.when(url.rlike("^(?i:http):"), ":(80)?$").when(url.rlike("^(?i:https):"), ":(443)?$").otherwise(":$")
+    plain = F.concat(F.regexp_replace(host(url), usual, F.lit("")), F.regexp_replace(_without_dots(path(url)), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
     return F.when(F.instr(url, "://") > 0, plain)
 
 
@@ -83,15 +93,18 @@ def _targets(html: Column) -> Column:
 
 
 def _absolute(target: Column, url: Column) -> Column:
+    """A target as written on a page, resolved against the page's address (RFC 3986, 5.2); null if it names no page or the page itself."""
     target = F.replace(target, F.lit("&amp;"), F.lit("&"))
     scheme, site = F.regexp_extract(url, r"(?s)^(.*?):", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
+    own, rest = F.regexp_extract(target, "(?s)^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(site, target))
         .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), F.lit(None))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
+        .when(target.startswith("?"), F.concat(site, path(url), target))
+        .when(target.startswith("/"), F.concat(site, _without_dots(own), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), rest))
     )
 
 
@@ -100,7 +113,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
 
     rule is the fitting rule's text, else null; via says what decided: rule, alias or default. A null
     url, or one without ://, has an empty host and path, no rule and no aliases: it is allowed. A null
-    html states no edges. Repeated rows stay repeated. An empty table gives an empty one.
+    html states no edges; one of any length is read whole. Of fitting rules of equal length, allow wins.
+    Repeated rows stay repeated. An empty table gives an empty one.
     """
     url = F.col(url_col)
     read = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"), node(url).alias("node"), _targets(F.col(html_col)).alias("targets"))

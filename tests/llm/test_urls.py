@@ -1,6 +1,9 @@
 """URL rules and alias groups on a hand-made site, and against plain code."""
 
+import urllib.parse
+
 import pytest
+from pyspark.sql import functions as F
 
 from sparkweave.llm import urls
 from sparkweave.llm.queries import URL_RULES
@@ -68,6 +71,30 @@ def test_aliases(spark):
     assert got[6] == ("net/fr/", "block", "rule") and got[1] == (None, "block", "alias") and got[10] == (None, "allow", "default")
 
 
+BASES = ["http://a.org", "http://a.org/", "http://a.org/b", "http://a.org/b/c/d;p?q=1#f", "https://a.org/b/c/", "http://a.org/x.y/../z/w"]
+REFERENCES = ["g", "./g", "g/", "/g", "//g.org/h", "?y=2", "g?y=2", "#s", "g#s", "g?y=2#s", ";x", "g;x=1", "..", "../", "../g", "../..", "../../g", "../../../g", "../../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/../y", "g?y/../x", "g#s/../x", ".", "./", "http://b.org/../k", "a/b/../../../c?d=..", "g?a=1&amp;b=2"]
+
+
+def test_references_resolve_as_the_standard_says(spark):
+    pairs = [(b, t) for b in BASES for t in REFERENCES]
+    df = spark.createDataFrame([(b, t, urllib.parse.urljoin(b, t.replace("&amp;", "&"))) for b, t in pairs], "base string, target string, want string")
+    got = df.select("base", "target", "want", urls._absolute(F.col("target"), F.col("base")).alias("to")).select("*", urls.node(F.col("to")).alias("node"), urls.node(F.col("want")).alias("want_node"), urls.node(F.col("base")).alias("base_node")).collect()
+    for r in got:
+        assert r["node"] == r["want_node"] or (r["node"] is None and r["want_node"] == r["base_node"]), r
+
+
+def test_one_page_under_several_addresses(spark):
+    same = ["http://a.org/x/y?q=1", "HTTPS://A.org:443/x/y/?q=1#top", "http://a.org:80/x/./y?q=1", "http://a.org:/x/z/../y?utm_source=s&q=1"]
+    other = ["http://a.org:8080/x/y?q=1", "http://a.org:443/x/y?q=1", "http://a.org/x/Y?q=1", "http://a.org/x/y?q=2", "http://a.org/x/y/..?q=1"]
+    node = lambda rows: [r[0] for r in spark.createDataFrame([(u,) for u in rows], "u string").select(urls.node(F.col("u"))).collect()]
+    assert set(node(same)) == {"a.org/x/y?q=1"} and "a.org/x/y?q=1" not in node(other) and len(set(node(other))) == 5
+
+
+def test_a_very_long_page(spark):
+    rows = [(1, "http://a.org/1", "<p>text</p>" * 200_000 + link("../es/").replace("../es/", "http://x.net/es/1")), (2, "http://a.org/2", "<" * 500_000)]
+    assert {k: v[1] for k, v in verdicts(spark, rows).items()} == {1: "block", 2: "allow"}
+
+
 def test_a_long_chain_and_a_hub(spark):
     chain = [(k, f"http://c{k}.org/", link(f"http://c{k + 1}.org/")) for k in range(40)] + [(40, "http://c40.org/", link("http://x.net/es/"))]
     hub = [(100 + k, f"http://h{k}.org/", link("http://hub.org/")) for k in range(60)] + [(200, "http://hub.org/", None), (201, "http://hub.org/q", None)]
