@@ -2,8 +2,8 @@
 
 The text is cut into tokens (strings, quoted names, comments, numbers, words, marks), so that nothing
 inside a literal or comment is touched. What is rewritten: functions under other names, SIMILAR TO,
-DISTINCT ON, QUALIFY, unnest, lists in square brackets, ordered aggregates, and the order of nulls, which sort as the largest values unless the
-query says otherwise.
+DISTINCT ON, QUALIFY, GROUPS frames, unnest, lists in square brackets, ordered aggregates, and the order of
+nulls, which sort as the largest values unless the query says otherwise.
 """
 
 from __future__ import annotations
@@ -306,6 +306,41 @@ def _qualify(parts: list[Token]) -> list[Token]:
     return tokens(new)
 
 
+def _group_frames(parts: list[Token]) -> list[Token]:
+    """OVER (... GROUPS frame) as a RANGE over the dense rank of the peer groups, which an inner query numbers."""
+    start, source = _find(parts, "SELECT"), _find(parts, "FROM")
+    listed = parts[start + 1 : source if source >= 0 else len(parts)]
+    ranks: list[str] = []
+    k = 0
+    while start >= 0 and k < len(listed):
+        open_ = _next(listed, k + 1)
+        if _word(listed[k]) == "OVER" and open_ < len(listed) and listed[open_] == ("mark", "("):
+            close = _closing(listed, open_)
+            inside = listed[open_ + 1 : close]
+            if (frame := _find(inside, "GROUPS")) >= 0:
+                order = _find(inside, "ORDER")
+                if not 0 <= order < frame:
+                    raise ValueError("a GROUPS frame needs an order")
+                ranks.append(f"dense_rank() OVER ({text_of(inside[:frame])}) AS __peers{len(ranks)}")
+                listed[open_ : close + 1] = tokens(f"({text_of(inside[:order])} ORDER BY __peers{len(ranks) - 1} RANGE {text_of(inside[frame + 1 :])})")
+        k += 1
+    if not ranks:
+        return parts
+    end = _find(parts, "ORDER", "LIMIT", "OFFSET", "QUALIFY", start=source) if source >= 0 else -1
+    body, tail = (parts[source + 1 :], []) if end < 0 else (parts[source + 1 : end], parts[end:])
+    where = _find(body, "WHERE")
+    relation = body if where < 0 else body[:where]
+    if source < 0 or _find(body, "GROUP", "HAVING", "JOIN", ",", "UNION", "INTERSECT", "EXCEPT", "LATERAL") >= 0:
+        raise ValueError("a GROUPS frame is read over one table or subquery, without GROUP BY")
+    outside = [sum((t == ("mark", "(")) - (t == ("mark", ")")) for t in relation[: k + 1]) == 0 for k in range(len(relation))]
+    named = [t for (kind, t), plain in zip(relation, outside) if plain and kind in ("word", "name") and t.upper() != "AS"]
+    alias = named[-1] if named else "__rows"
+    hidden = ", ".join(f"__peers{n}" for n in range(len(ranks)))
+    items = ", ".join(f"* EXCEPT ({hidden})" if text_of(item).strip() == "*" else text_of(item) for item in split(listed))
+    new = f"{text_of(parts[:start])}SELECT {items} FROM (SELECT *, {', '.join(ranks)} FROM {text_of(body)}) AS {alias} {text_of(tail)}"
+    return tokens(new)
+
+
 def _nested(parts: list[Token]) -> list[Token]:
     """Rewrites of whole queries, inner ones first."""
     out, k = [], 0
@@ -317,7 +352,7 @@ def _nested(parts: list[Token]) -> list[Token]:
         else:
             out.append(parts[k])
             k += 1
-    return _qualify(_distinct_on(out))
+    return _group_frames(_qualify(_distinct_on(out)))
 
 
 def rewrite(text: str) -> str:

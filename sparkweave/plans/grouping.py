@@ -36,9 +36,12 @@ R.sql("agg_percentile", "SELECT l_returnflag, round(percentile(l_quantity, 0.9),
 R.sql("agg_first_last", "SELECT o_custkey, min_by(o_orderkey, o_totalprice) AS cheapest, max_by(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY o_custkey")
 R.sql("agg_ordered", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_key FROM orders GROUP BY o_custkey")
 R.sql("agg_string_within_group", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
-R.sql("agg_approx_distinct", "SELECT o_orderstatus, approx_distinct(o_custkey) AS customers FROM orders GROUP BY o_orderstatus", check=False)
-R.sql("agg_approx_percentile", "SELECT l_returnflag, approx_percentile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag", check=False)
-R.sql("agg_approx_median", "SELECT l_returnflag, approx_median(l_extendedprice) AS middle FROM lineitem GROUP BY l_returnflag", check=False)
+R.sql("agg_approx_distinct", "SELECT o_orderstatus, abs(approx_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders GROUP BY o_orderstatus", "SELECT DISTINCT o_orderstatus, true AS near FROM orders")
+_NEAR = "SELECT DISTINCT l_returnflag, true AS near FROM lineitem"
+R.sql("agg_approx_percentile", "SELECT l_returnflag, approx_percentile_cont(l_extendedprice, 0.9) BETWEEN percentile(l_extendedprice, 0.89) AND percentile(l_extendedprice, 0.91) AS near FROM lineitem GROUP BY l_returnflag", _NEAR)
+R.sql("agg_approx_median", "SELECT l_returnflag, approx_median(l_extendedprice) BETWEEN percentile(l_extendedprice, 0.49) AND percentile(l_extendedprice, 0.51) AS near FROM lineitem GROUP BY l_returnflag", _NEAR)
+R.sql("agg_approx_weighted", "SELECT l_returnflag, approx_percentile_cont_with_weight(l_linenumber, CAST(l_quantity AS BIGINT), 0.5) = percentile(l_linenumber, 0.5, CAST(l_quantity AS BIGINT)) AS near FROM lineitem GROUP BY l_returnflag", _NEAR)
+R.sql("agg_covar_names", "SELECT l_returnflag, round(covar(l_quantity, l_linenumber), 6) AS c, round(var_population(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(covar_samp(l_quantity, l_linenumber), 6) AS c, round(var_pop(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag")
 R.sql("agg_percentile_weighted", "SELECT l_returnflag, percentile(l_linenumber, 0.5, CAST(l_quantity AS BIGINT)) AS middle FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, median(l_linenumber)::DOUBLE AS middle FROM (SELECT l_returnflag, l_linenumber, unnest(range(l_quantity::BIGINT)) FROM lineitem) GROUP BY l_returnflag")
 R.sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 R.sql("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
@@ -86,6 +89,10 @@ R.sql("win_qualify", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUA
 _GROUPS = "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)::BIGINT AS s FROM orders"
 
 
+_PEER_SUMS = "sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING){} AS s, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM orders WHERE o_totalprice > 0"
+R.sql("win_groups_sql", f"SELECT o_orderkey, {_PEER_SUMS.format('')}", f"SELECT o_orderkey, {_PEER_SUMS.format('::BIGINT')}")
+
+
 @R.plan("win_groups_frame", _GROUPS)
 def _groups(t: Tables) -> DataFrame:
     return windows.groups_frame(t.orders, "s", F.sum("o_orderkey"), ["o_orderpriority"], 1, 0, ["o_custkey"]).select("o_orderkey", "s")

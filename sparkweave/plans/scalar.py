@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,8 @@ from sparkweave.operators import scalars, sets
 from sparkweave.plans.registry import Registry
 from sparkweave.plans.tables import Tables
 from sparkweave.session import Session
+from sparkweave.sources import writers
+from sparkweave.sources.shared import shared_dir
 from sparkweave.streaming import events
 
 R = Registry()
@@ -81,6 +86,14 @@ R.sql("fn_conditional", "SELECT c_custkey, coalesce(NULL, c_name) AS a, nullif(c
 R.sql("fn_arrow_types", "SELECT arrow_cast(n_nationkey, 'Int64') AS l, arrow_cast(n_nationkey, 'Utf8') AS s, arrow_cast(n_nationkey, 'Float64') AS d, arrow_typeof(n_name) AS kind FROM nation", "SELECT n_nationkey::BIGINT AS l, n_nationkey::VARCHAR AS s, n_nationkey::DOUBLE AS d, 'string' AS kind FROM nation")
 
 
+_DIGESTS = ", ".join(f"'{hashlib.new(f'sha{n}', b'abc').hexdigest()}' AS s{n}" for n in (224, 384, 512))
+R.sql("fn_sha", "SELECT sha224('abc') AS s224, sha384('abc') AS s384, sha512('abc') AS s512", f"SELECT {_DIGESTS}")
+R.sql("fn_now", "SELECT today() = current_date() AS d, CAST(now() AS DATE) = current_date() AS n, random() BETWEEN 0 AND 1 AS r, length(version()) > 0 AS v", "SELECT true AS d, true AS n, true AS r, true AS v")
+R.sql("fn_local_time", "SELECT event_id, to_local_time(ts) AS t, CAST(to_timestamp_nanos(1700000000000000000 + event_id * 1000) AS TIMESTAMP_NTZ) AS n, to_char(ts, 'yyyy-MM-dd') AS c FROM events", "SELECT event_id, ts AS t, make_timestamp(1700000000000000 + event_id) AS n, strftime(ts, '%Y-%m-%d') AS c FROM events")
+R.sql("fn_substring_index", "SELECT n_nationkey, substring_index(n_name, '_', 1) AS s FROM nation", "SELECT n_nationkey, split_part(n_name, '_', 1) AS s FROM nation")
+R.sql("list_more", "SELECT n_nationkey, array_dims(array_repeat(n_name, 3)) AS d, array_empty(array_repeat(n_name, 0)) AS e, arrays_overlap(make_array(n_regionkey), make_array(1, 2)) AS o, flatten(make_array(make_array(n_nationkey), make_array(1, 2))) AS f FROM nation", "SELECT n_nationkey, [3] AS d, true AS e, n_regionkey IN (1, 2) AS o, [n_nationkey, 1, 2] AS f FROM nation")
+
+
 @R.plan("fn_date_bin_column", "SELECT event_id, time_bucket(INTERVAL '90 minutes', ts, TIMESTAMP '2024-01-01') AS bin FROM events")
 def _bins(t: Tables) -> DataFrame:
     return t.events.select("event_id", scalars.date_bin(90 * 60 * 1_000_000, c("ts"), "2024-01-01 00:00:00").alias("bin"))
@@ -93,11 +106,36 @@ def _session(t: Tables) -> Session:
     return session
 
 
-R.plan("show_tables")(lambda t: _session(t).sql("SHOW TABLES").df)
+R.plan("show_tables", "SELECT 'nation' AS \"tableName\", true AS \"isTemporary\"")(lambda t: _session(t).sql("SHOW TABLES").df.where("tableName = 'nation'").select("tableName", "isTemporary"))
 R.plan("describe_table", "SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) AS v(col_name, data_type)")(lambda t: _session(t).sql("DESCRIBE nation").df.select("col_name", "data_type"))
 R.plan("information_schema", "SELECT * FROM (VALUES ('n_nationkey', 1), ('n_name', 2), ('n_regionkey', 3)) AS v(column_name, ordinal_position)")(lambda t: _session(t).sql("SELECT column_name, ordinal_position FROM information_schema.columns WHERE table_name = 'nation'").df)
-R.plan("explain_modes")(lambda t: _session(t).sql("EXPLAIN VERBOSE SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey").df)
-R.plan("explain_analyze")(lambda t: _session(t).sql("EXPLAIN ANALYZE SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey").df)
+_COUNT = "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey"
+
+
+@R.plan("explain_modes", "SELECT unnest(['CODEGEN', 'COST', 'FORMATTED', 'VERBOSE']) AS mode, true AS scans, unnest([false, true, false, true]) AS logical")
+def _modes(t: Tables) -> DataFrame:
+    """What each mode shows: the scan of the physical plan or its generated code, and whether logical plans come with it."""
+    session = _session(t)
+    plans = {mode: session.sql(f"EXPLAIN {mode} {_COUNT}").df.first()[0] for mode in ("CODEGEN", "COST", "FORMATTED", "VERBOSE")}
+    return t.spark.createDataFrame([(m, "scan parquet" in p.lower() or "WholeStageCodegen subtrees" in p, "Optimized Logical Plan" in p) for m, p in plans.items()], "mode string, scans boolean, logical boolean")
+
+
+@R.plan("explain_analyze", f"SELECT 'output rows: ' || count(*) AS last, (SELECT count(*) FROM nation) AS scanned FROM ({_COUNT})")
+def _analyze(t: Tables) -> DataFrame:
+    """What a measured plan says of the rows that came out, and of those that were read."""
+    plan = F.split(c("plan"), "\n")
+    measured = _session(t).sql(f"EXPLAIN ANALYZE {_COUNT}").df
+    scan = F.element_at(F.filter(plan, lambda line: line.contains("FileScan")), 1)
+    return measured.select(F.element_at(plan, -1).alias("last"), F.regexp_extract(scan, r"numOutputRows=(\d+)", 1).cast("long").alias("scanned"))
+
+
+@R.plan("schema_create_drop", "SELECT n_nationkey FROM nation")
+def _schema(t: Tables) -> DataFrame:
+    session, name, at = _session(t), f"s_{uuid.uuid4().hex[:8]}", f"{shared_dir(t.spark)}/sparkweave/schema-{uuid.uuid4().hex[:8]}"
+    session.run(f"CREATE SCHEMA {name}; CREATE SCHEMA IF NOT EXISTS {name}; CREATE TABLE {name}.keys USING parquet AS SELECT n_nationkey FROM nation")
+    writers.write(t.spark.table(f"{name}.keys"), at)
+    session.sql(f"DROP SCHEMA {name} CASCADE")
+    return t.spark.read.parquet(at)
 
 
 @R.plan("prepared_params", "SELECT n_name FROM nation WHERE n_regionkey = 2 AND n_nationkey > 5")
@@ -146,6 +184,58 @@ def _pandas(t: Tables) -> DataFrame:
     return t.events.select("event_id", line("value").alias("y"))
 
 
+@R.plan("udaf_pandas", "SELECT o_orderstatus, round(sum(o_totalprice * o_totalprice) / sum(o_totalprice), 4) AS own_mean FROM orders GROUP BY o_orderstatus")
+def _aggregate(t: Tables) -> DataFrame:
+    """An aggregate of one's own by SQL name: a Pandas function of the two sums of a group, which Spark has added up before."""
+    @F.pandas_udf("double")
+    def ratio(above: pd.Series, below: pd.Series) -> float:
+        return float(above.sum() / below.sum())
+
+    session = Session(spark=t.spark)
+    session.register_udaf("ratio", ratio)
+    session.register_dataframe("summed", t.orders.groupBy("o_orderstatus", F.pmod("o_orderkey", F.lit(64)).alias("salt")).agg(F.sum(c("o_totalprice") * c("o_totalprice")).alias("a"), F.sum("o_totalprice").alias("b")))
+    return session.sql("SELECT o_orderstatus, round(ratio(a, b), 4) AS own_mean FROM summed GROUP BY o_orderstatus").df
+
+
+# streams: the events as they would come, in two parts
+def _arriving(t: Tables) -> DataFrame:
+    """The events as a stream over a folder, read to its end."""
+    at = f"{shared_dir(t.spark)}/sparkweave/arriving-{uuid.uuid4().hex[:8]}"
+    t.events.repartition(2).write.parquet(at)
+    return events.read(t.spark, at, t.events.schema, files_per_trigger=1)
+
+
+def _marks(t: Tables) -> str:
+    return f"{shared_dir(t.spark)}/sparkweave/stream-{uuid.uuid4().hex[:8]}"
+
+
+@R.plan("stream_windows", f"SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, {_VALUE} FROM events GROUP BY ALL")
+def _stream_windows(t: Tables) -> DataFrame:
+    counted = events.windowed(_arriving(t), "1 day", F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"), keys=("event_type",))
+    return events.final(counted.drop("window_end"), _marks(t))
+
+
+@R.plan("stream_totals", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def _stream_totals(t: Tables) -> DataFrame:
+    """A stateful operator in Pandas: a running total for each user, of which the last one counts."""
+    running, at = events.running(_arriving(t), "user_id", "value"), _marks(t)
+    events.write(running, f"{at}/out", f"{at}/marks").awaitTermination()
+    last = t.spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("s"))
+    return last.select("user_id", "s.n", F.round("s.total", 4).alias("total"))
+
+
+_PURCHASES, _CLICKS = "SELECT event_id AS p_id, user_id AS p_user, ts AS p_ts FROM events WHERE event_type = 'purchase'", "SELECT event_id AS c_id, user_id AS c_user, ts AS c_ts FROM events WHERE event_type = 'click'"
+
+
+@R.plan("stream_join", f"SELECT p_id, c_id FROM ({_PURCHASES}) JOIN ({_CLICKS}) ON p_user = c_user AND c_ts >= p_ts AND c_ts <= p_ts + INTERVAL '2 days'")
+def _stream_join(t: Tables) -> DataFrame:
+    """The symmetric hash join: each side waits in the other's state until the watermark has passed."""
+    side = lambda kind, p: _arriving(t).where(c("event_type") == kind).select(c("event_id").alias(f"{p}_id"), c("user_id").alias(f"{p}_user"), c("ts").cast("timestamp").alias(f"{p}_ts"))
+    met, at = events.matched(side("purchase", "p"), side("click", "c"), "p_user", "c_user", "p_ts", "c_ts", "2 days", "400 days"), _marks(t)
+    events.write(met.select("p_id", "c_id"), f"{at}/out", f"{at}/marks").awaitTermination()
+    return t.spark.read.parquet(f"{at}/out")
+
+
 @R.plan("udf_scalar", "SELECT n_nationkey, reverse(n_name) AS back FROM nation")
 def _scalar(t: Tables) -> DataFrame:
     back = F.udf(lambda s: s and s[::-1], "string", useArrow=True)

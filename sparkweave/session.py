@@ -85,6 +85,16 @@ class Session:
     def register_dataframe(self, name: str, df: DataFrame) -> None:
         self._register(name, df)
 
+    def register_udf(self, name: str, function, returns: str | None = None) -> None:
+        """A scalar function, or an aggregate one if it is a pandas_udf of Series to a scalar, under a name for SQL."""
+        self.spark.udf.register(name, function) if returns is None else self.spark.udf.register(name, function, returns)
+
+    register_udaf = register_udf
+
+    def register_udtf(self, name: str, function) -> None:
+        """A table function (pyspark.sql.functions.udtf) under a name for SQL."""
+        self.spark.udtf.register(name, function)
+
     def set(self, option: str, value: str) -> None:
         options.apply(self.spark, option, value)
 
@@ -130,6 +140,11 @@ class Session:
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {m[2]} {dialect.rewrite(m[3])}")
             self._owned.add(m[2].strip('"`'))
             return self._nothing()
+        if m := re.match(rf"CREATE\s+(?:SCHEMA|DATABASE)\s+(IF\s+NOT\s+EXISTS\s+)?({_NAME})$", text, re.I):
+            self.spark.sql(f"CREATE SCHEMA {'IF NOT EXISTS ' if m[1] else ''}{dialect.rewrite(m[2])}")
+            return self._nothing()
+        if re.match(r"CREATE\s+CATALOG\b", text, re.I):
+            raise ValueError("catalogs are configured: set spark.sql.catalog.<name> when the Spark session is made")
         return None
 
     def _replace(self, table: str, query: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 #: Compression names -> Spark's.
-COMPRESSION = {"gzip": "gzip", "gz": "gzip", "bzip2": "bzip2", "zstd": "zstd", "snappy": "snappy", "lz4": "lz4", "uncompressed": "none", "none": "none"}
+COMPRESSION = {"gzip": "gzip", "gz": "gzip", "bzip2": "bzip2", "zstd": "zstd", "zst": "zstd", "snappy": "snappy", "lz4": "lz4", "uncompressed": "none", "none": "none"}
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", partition_by: Sequence[str] = (), compression: str | None = None, **options) -> None:
@@ -16,6 +16,8 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if compression:
+        if compression.lower() not in COMPRESSION:
+            raise ValueError(f"Spark writes no {compression}")
         writer = writer.option("compression", COMPRESSION[compression.lower()])
     if kind == "csv":
         options = {"header": True} | options

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def _timed(events: DataFrame, time: str, late: str | None) -> DataFrame:
@@ -30,7 +34,31 @@ def sessions(events: DataFrame, gap: str, *aggregates: Column, keys: tuple[str,
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), *[c for c in out.columns if c != "w"])
 
 
-def read(spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+def running(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, total): for each batch of a stream and key in it, how many values there were so far, and their sum; the state is the two numbers."""
+
+    def step(of, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for frame in frames:
+            n, total = n + len(frame), total + float(frame[value].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [of[0]], "n": [n], "total": [total]})
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, total double", "n long, total double", "append", "NoTimeout")
+
+
+def final(aggregated: DataFrame, path: str) -> DataFrame:
+    """The last state of a streaming aggregate once all that is there has been read: each batch replaces the table before it."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    aggregated.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/marks").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return aggregated.sparkSession.read.parquet(f"{path}/out")
+
+
+def read(spark: SparkSession, folder: str, schema: str | StructType, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of Parquet files as a stream: files that come later are read later."""
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)

@@ -6,23 +6,11 @@ from conftest import duck, same
 from sparkweave.plans import catalog
 
 
-def test_sql_belongs_to_queries():
-    assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
-
-
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, folder, name):
     df = catalog.QUERIES[name](spark, folder)
-    if name in catalog.ORACLE_SQL:
-        same(df, duck(folder).sql(catalog.ORACLE_SQL[name]))
-    else:
-        assert df.count() > 0
+    same(df, duck(folder).sql(catalog.ORACLE_SQL[name]))
 
 
-def test_approximate_aggregates_are_near(spark, folder):
-    exact = dict(duck(folder).sql("SELECT o_orderstatus, count(DISTINCT o_custkey) FROM orders GROUP BY ALL").fetchall())
-    for row in catalog.QUERIES["agg_approx_distinct"](spark, folder).collect():
-        assert abs(row["customers"] - exact[row["o_orderstatus"]]) <= 0.1 * exact[row["o_orderstatus"]]
-    middle = dict(duck(folder).sql("SELECT l_returnflag, median(l_extendedprice) FROM lineitem GROUP BY ALL").fetchall())
-    for row in catalog.QUERIES["agg_approx_median"](spark, folder).collect():
-        assert row["middle"] == pytest.approx(middle[row["l_returnflag"]], rel=0.01)
+def test_every_query_has_sql():
+    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES)

@@ -111,3 +111,16 @@ def test_ordered_aggregates(spark):
 
 def test_statements():
     assert dialect.statements("a; 'b;c'; -- d;\n e") == ["a", "'b;c'", "e"]
+
+
+def test_groups_frames_in_text(spark):
+    session = Session(spark=spark)
+    rows = "(VALUES ('a', 1, 10), ('a', 1, 20), ('a', 2, 30), ('a', 5, 40), ('b', 1, 50), ('b', NULL, 60)) AS t(g, k, v)"
+    got = session.sql(f"SELECT *, sum(t.v) OVER (PARTITION BY g ORDER BY k GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM {rows} WHERE v < 60 OR k IS NULL ORDER BY v").df
+    assert got.columns == ["g", "k", "v", "s"]
+    assert [r["s"] for r in got.collect()] == [30, 30, 60, 70, 50, 110]
+    nested = session.sql(f"SELECT max(s) AS m FROM (SELECT count(*) OVER (ORDER BY k GROUPS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS s FROM {rows})").df
+    assert nested.collect() == [(1,)]
+    for bad in ("SELECT sum(v) OVER (PARTITION BY g GROUPS CURRENT ROW) FROM t", "SELECT sum(v) OVER (ORDER BY k GROUPS CURRENT ROW) FROM t JOIN u USING (k)"):
+        with pytest.raises(ValueError, match="GROUPS"):
+            session.sql(bad)
