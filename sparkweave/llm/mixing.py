@@ -4,7 +4,7 @@ Each source gets a target of words by weight, bounded by a number of epochs. A d
 number of copies is proportional to its size, up to that number of epochs; the whole part is certain,
 and for the rest p the documents of a source are ranked by random odds over inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and taken in that order up to the words that remain: an
-unequal-probability sample of fixed size in words. The document that best fills what is left closes
+unequal-probability sample of fixed size in words. The documents that best fill what is left close
 it. Rosén, "On sampling with probability proportional to size" (1997).
 
 A source of any size is handled by partial aggregates: sums by size class find the scale of the
@@ -24,6 +24,8 @@ from sparkweave.llm.common import checked, indexed, n_words, stage, twins, unifo
 WEIGHTS, SHARE, EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 1
 #: Classes of ranks between 0 and 1.
 CLASSES = 1 << 16
+#: Documents that fill what the ranking leaves of a source's target.
+CLOSING = 3
 #: Equal rows that are numbered in one task.
 NUMBERED = 200_000
 
@@ -109,19 +111,29 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     below = F.when(F.col("class").isNull(), 1.0).otherwise(F.col("class") / CLASSES)
     bounded = stage(scaled.join(cut, "src", "left").join(last, "src", "left").select(*scaled.columns, below.alias("below"), F.coalesce("upto", F.lit(-1.0)).alias("upto")), "bounded")
 
-    # the document that best fills what is left, with the rows that are tied with it
-    sampled = _choice(rows.join(checked(bounded), F.col("source").eqNullSafe(F.col("of"))), epochs)
-    takes = (F.col("rank") < F.col("below")) | (F.col("rank") <= F.col("upto"))
-    gaps = stage(sampled.groupBy("src").agg((F.first("target") - F.sum(F.col("size") * (F.col("certain") + F.coalesce(takes.cast("int"), F.lit(0))))).alias("gap")), "gaps")
-    over = F.abs(F.col("tied") - F.col("gap"))
-    tied = sampled.where(F.col("rank").isNotNull() & ~takes).groupBy("src", "rank").agg(F.sum("size").alias("tied"))
-    closing = tied.join(checked(gaps), "src").where(over < F.col("gap")).groupBy("src").agg(F.min(F.struct(over.alias("over"), "rank")).alias("closing")).select("src", F.col("closing.rank").alias("closing"))
-    return rows, stage(bounded.join(closing, "src", "left"), "sources"), repeated
+    # documents that fill what is left: the largest that fits, and at the end the one that comes nearest
+    started = _choice(rows.join(checked(bounded), F.col("source").eqNullSafe(F.col("of"))), epochs)
+    gap = F.first("target") - F.sum(F.col("size") * (F.col("certain") + F.coalesce(_sampled().cast("int"), F.lit(0))))
+    state = stage(bounded.join(started.groupBy("src").agg(gap.alias("gap")), "src", "left").withColumn("closed", F.array().cast("array<double>")), "gaps")
+    for left in reversed(range(CLOSING)):
+        rest = _choice(rows.join(checked(state), F.col("source").eqNullSafe(F.col("of"))), epochs).where(F.col("rank").isNotNull() & ~_sampled() & ~F.array_contains("closed", F.col("rank")))
+        over = F.abs(F.col("size") - F.col("gap"))
+        fitting = rest.where(F.col("size") <= F.col("gap") if left else over < F.col("gap"))
+        best = fitting.groupBy("src").agg(F.min(F.struct(over.alias("over"), "rank", "size")).alias("b"))
+        found = F.col("b").isNotNull()
+        closed = F.when(found, F.concat("closed", F.array("b.rank"))).otherwise(F.col("closed"))
+        state = stage(state.join(best, "src", "left").withColumns({"closed": closed, "gap": F.col("gap") - F.when(found, F.col("b.size")).otherwise(0)}).drop("b"), "sources")
+    return rows, state, repeated
+
+
+def _sampled() -> Column:
+    """Whether a row is ranked before the cut."""
+    return (F.col("rank") < F.col("below")) | (F.col("rank") <= F.col("upto"))
 
 
 def _copies(rows: DataFrame, sources: DataFrame, source_col: str, epochs: float) -> DataFrame:
     chosen = _choice(rows.join(checked(sources), F.col(source_col).eqNullSafe(F.col("of"))), epochs)
-    takes = (F.col("rank") < F.col("below")) | (F.col("rank") <= F.col("upto")) | F.coalesce(F.col("rank") == F.col("closing"), F.lit(False))
+    takes = _sampled() | F.coalesce(F.array_contains("closed", F.col("rank")), F.lit(False))
     return chosen.withColumn("copies", F.col("certain") + F.coalesce(takes.cast("long"), F.lit(0)))
 
 
