@@ -29,7 +29,7 @@ FEATURES, LEAST_DOCS, LEAST_Z, GRADES = 3000, 3, 3.0, 4
 #: Probability of being toxic from which a document is rejected: a missed toxic one weighs three times a lost clean one.
 REJECT = 0.25
 #: Words that frequencies refer to; words that are added to a text's own, for short texts; toxic documents of like length.
-SPAN, EXTRA, PEERS = 50.0, 80, 30
+SPAN, EXTRA, PEERS = 50.0, 90, 30
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

@@ -98,7 +98,7 @@ def test_query_against_a_plain_version(spark, model):
     want = []
     for i, text in rows:
         words = [w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w]
-        score = sum(model.weights.get(w, 0.0) for w in words) * 50 / (len(words) + 80)
+        score = sum(model.weights.get(w, 0.0) for w in words) * 50 / (len(words) + 90)
         above = [1 / (1 + np.exp(c - score)) for c in model.cuts]
         want.append((i, round(sum(above), 9), (above[0] >= 0.25) * (1 + sum(p >= 0.5 for p in above[1:])), round(above[0], 9), above[0] >= 0.25))
     assert [g[0] for g in got] == [w[0] for w in sorted(want, key=str)]
