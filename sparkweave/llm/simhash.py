@@ -229,9 +229,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     found = stage(_grouped(fps, radius).groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
     firsts = found.groupBy("class").agg(first).select(F.col("class").alias("of"), "first.doc_id", "first.text_hash").withColumnsRenamed({"doc_id": "first_id", "text_hash": "first_hash"})
-    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    # joined by all three columns, so that a large group is spread
+    first_of = (F.col("class") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    stays = F.col("of").isNotNull()
     key_id, key_hash = (f"{name}{uuid.uuid4().hex}" for name in ("id", "hash"))
-    told = stage(found.join(firsts, F.col("class") == F.col("of")).where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash), stays.alias("stays")), "told")
+    told = stage(found.join(firsts, first_of, "left").where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash), stays.alias("stays")), "told")
     of_row = docs[id_col].cast("long").eqNullSafe(F.col(key_id)) & (F.xxhash64(docs[text_col]) == F.col(key_hash))
     kept = docs.join(checked(told), of_row, "left_anti")
     repeated = told.where("stays")
