@@ -56,9 +56,12 @@ def pricing_summary(t: Tables) -> DataFrame:
 @_plan("tpch_q02")
 def cheapest_supplier(t: Tables) -> DataFrame:
     sellers = t.supplier.join(in_region(t, "ASIA"), c("s_nationkey") == c("n_nationkey"))
-    offers = t.supply(t.part.where(c("p_size") == 15), sellers).withColumnRenamed("ps_partkey", "p_partkey")
-    least = F.min("ps_supplycost").over(Window.partitionBy("p_partkey"))
-    best = offers.withColumn("least", least).where(c("ps_supplycost") == c("least")).join(sellers, c("ps_suppkey") == c("s_suppkey"))
+    parts = t.part.where(c("p_size") == 15).select("p_partkey")
+    lines = t.lineitem.join(parts, c("l_partkey") == c("p_partkey"), "left_semi").join(sellers, c("l_suppkey") == c("s_suppkey"))
+    offers = lines.select(c("l_partkey").alias("p_partkey"), "s_acctbal", "s_name", "n_name", "s_suppkey", (c("l_extendedprice") / c("l_quantity")).alias("cost"))
+    # one shuffle serves the costs of a supplier and the least of a part
+    cost = offers.repartition("p_partkey").groupBy("p_partkey", "s_suppkey").agg(F.min("cost").alias("cost"), *[F.first(x).alias(x) for x in ("s_acctbal", "s_name", "n_name")])
+    best = cost.withColumn("least", F.min("cost").over(Window.partitionBy("p_partkey"))).where(c("cost") == c("least"))
     return best.select("s_acctbal", "s_name", "n_name", "p_partkey").orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100)
 
 
@@ -118,7 +121,8 @@ def market_share(t: Tables) -> DataFrame:
 def product_profit(t: Tables) -> DataFrame:
     parts = t.part.where(c("p_name").contains("ring")).select("p_partkey")
     lines = t.lineitem.join(parts, c("l_partkey") == c("p_partkey"))
-    supplied = lines.join(t.supply(parts), (c("l_partkey") == c("ps_partkey")) & (c("l_suppkey") == c("ps_suppkey")))
+    # the supply of these parts is derived from the same lines: one scan
+    supplied = lines.withColumn("ps_supplycost", F.min(c("l_extendedprice") / c("l_quantity")).over(Window.partitionBy("l_partkey", "l_suppkey")))
     sold = supplied.join(t.orders, c("l_orderkey") == c("o_orderkey")).join(t.supplier, c("l_suppkey") == c("s_suppkey")).join(t.nation, c("s_nationkey") == c("n_nationkey"))
     amount = revenue() - c("ps_supplycost") * c("l_quantity")
     years = sold.select(c("n_name").alias("nation"), F.year("o_orderdate").cast("long").alias("o_year"), amount.alias("amount"))
