@@ -50,21 +50,23 @@ class Matcher:
 
     def __init__(self, items: list[tuple], n: int, threshold: float):
         self.threshold, self.ids = threshold, [i for i, _ in items]
-        spans, firsts, seconds, codes = np.zeros(len(items), np.int64), [], [], [np.empty(0, np.uint64)]
+        spans, firsts, seconds, vocabulary = np.zeros(len(items), np.int64), [], [], set()
         sketch: dict[int, list[tuple[np.ndarray, int, float]]] = {}
         for k, (_, text) in enumerate(items):
-            own = _hashed(words_of(text))
+            words = words_of(text)
+            vocabulary.update(words)
+            own = _hashed(words)
             spans[k] = span = min(n, len(own))
             at = np.arange(len(own) - span + 1 if span else 0)
             first, where = np.unique(_keys(own, at, span, 0), return_index=True)
             firsts.append(first)
             seconds.append(_keys(own, at[where], span, self.SECOND))
-            codes.append(own)
             if span:
                 part = (len(first) - 1).bit_length()
                 kept = first[: int((1 - threshold) * (1 << part) + 1e-9) + 1]
                 sketch.setdefault(int(span), []).append((kept, k, threshold * ((1 << part) // 2)))
-        self.vocabulary = np.unique(np.concatenate(codes))
+        distinct = sorted(vocabulary)
+        self.vocabulary, self.codes = pa.array(distinct, pa.binary()).cast(pa.string()), _hashed(distinct)
         self.sizes = np.array([len(f) for f in firsts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.first, self.second = (np.concatenate([np.empty(0, np.uint64), *x]) for x in (firsts, seconds))
@@ -84,11 +86,8 @@ class Matcher:
         flat = runs.flatten()
         real = pc.not_equal(flat, "")  # leading and trailing white space leave empty runs
         row_of = np.asarray(pc.list_parent_indices(runs), np.int64)[np.asarray(real)]
-        coded = pc.dictionary_encode(flat.filter(real))
-        distinct = _hashed(coded.dictionary.to_pylist())
-        place = np.minimum(np.searchsorted(self.vocabulary, distinct), len(self.vocabulary) - 1)
-        which, held = np.asarray(coded.indices), self.vocabulary[place] == distinct
-        codes, known = distinct[which], np.concatenate([[0], np.cumsum(held[which])])
+        place = np.asarray(pc.fill_null(pc.index_in(flat.filter(real), value_set=self.vocabulary), -1), np.int64)
+        codes, known = self.codes[place], np.concatenate([[0], np.cumsum(place >= 0)])
         counts, found = np.bincount(row_of, minlength=len(texts)), []
         for span, (hashes, items, least) in sorted(self.sketch.items()):
             if len(codes) < span:

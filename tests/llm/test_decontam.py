@@ -89,7 +89,7 @@ def test_size_of_a_matcher():
     r = random.Random(1)
     items = [(k, " ".join(f"word{r.randint(0, 50_000)}" for _ in range(40))) for k in range(2500)]
     match = decontam.Matcher(items, 5, 0.8)
-    held = sum(x.nbytes for x in [match.vocabulary, match.first, match.second, *(y for s in match.sketch.values() for y in s)])
+    held = sum(x.nbytes for x in [match.vocabulary, match.codes, match.first, match.second, *(y for s in match.sketch.values() for y in s)])
     assert held <= 8 * sum(len(t) for _, t in items)
 
 
