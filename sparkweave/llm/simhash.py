@@ -199,7 +199,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     """Staged fingerprints with component_id and class."""
     classes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = components(links(classes.select("fp"), radius))
+    joined = components(stage(links(classes.select("fp"), radius), "links"))
     named = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "component").join(smallest, "component").select(F.col("fp").alias("of_fp"), "component_id", F.col("component").alias("class"))
