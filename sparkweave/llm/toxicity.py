@@ -163,10 +163,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = one if picked is None else picked.unionByName(one)
     texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= MOST_CHARS)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # at most 2 * per_class rows: a bounded broadcast; a repeated document counts once
-    found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id")
-    sample = found.select("text", "toxic").toArrow()
+    found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     whole = max(1, sum(total.values()))
-    return fit((t.as_py() for t in sample.column("text")), sample.column("toxic").to_pylist(), (total.get(0, 0) / whole, total.get(1, 0) / whole))
+    return _fitted(found, (total.get(0, 0) / whole, total.get(1, 0) / whole))
+
+
+def _fitted(sample: DataFrame, shares: tuple[float, float]) -> Model | None:
+    """fit() of the rows (doc_id, text, toxic), in the order of the ids, by one task: the driver gets the model, but no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        model = fit((t.as_py() for batch in held for t in batch.column("text")), [t for batch in held for t in batch.column("toxic").to_pylist()], shares)
+        if model is not None:
+            columns = [pa.array([list(model.weights)], pa.list_(pa.string())), pa.array([list(model.weights.values())], pa.list_(pa.float64())), pa.array([model.cuts.tolist()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["words", "weights", "cuts"])
+
+    rows = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")
+    found = rows.mapInArrow(run, "words array<string>, weights array<double>, cuts array<double>").collect()
+    return Model(dict(zip(found[0]["words"], found[0]["weights"])), np.array(found[0]["cuts"])) if found else None
 
 
 def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:

@@ -1,5 +1,6 @@
 """Ordinal regression: held-out accuracy, ordered thresholds, and odd rows."""
 
+import os
 import random
 import re
 
@@ -137,6 +138,22 @@ def test_the_bound_on_labelled_rows_holds(spark):
     assert small.weights == again.weights and (small.cuts == again.cuts).all()
 
 
+def test_the_model_is_fitted_by_a_task(spark, monkeypatch, tmp_path):
+    """The driver gets the model, the same as of a fit by hand, but no texts."""
+
+    def noted(*args, fit=toxicity.fit):
+        (tmp_path / str(os.getpid())).touch()
+        return fit(*args)
+
+    rows = made(300, 5)
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    want = toxicity.fit([t for _, t, _ in rows], [t for *_, t in rows], (200 / 300, 100 / 300))
+    monkeypatch.setattr(toxicity, "fit", noted)
+    got = toxicity.train(frame(spark, [(i, t) for i, t, _ in reversed(rows)]), labels)
+    assert got.weights == want.weights and (got.cuts == want.cuts).all()
+    assert (fitted := [p.name for p in tmp_path.iterdir()]) and str(os.getpid()) not in fitted
+
+
 def test_driver_tables(spark, folder):
     """On half of the labelled documents, hold out the other half."""
     larger = folder.replace("sf0.001", "sf0.1")
